@@ -129,7 +129,8 @@ def land(p: np.ndarray, size: np.ndarray, need: float) -> np.ndarray:
 
 def _round(open_docs: DataFrame, blocks: Column, last: bool, seed: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
+        # the largest first, so that what stays open at the end is small
+        pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
         size = pdf["n_tokens"].to_numpy("float64")
         rng = np.random.default_rng([seed, int(pdf["doc_id"].iloc[0]) & 0xFFFFFFFF, len(pdf)])
         p = flight(pdf["p"].to_numpy("float64"), size, rng)
