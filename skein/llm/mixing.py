@@ -117,13 +117,29 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def land(p: np.ndarray, size: np.ndarray, need: float) -> np.ndarray:
-    """The landing of the documents still open: the choice whose tokens come nearest to ``need``, then whose number does."""
+def land(p: np.ndarray, size: np.ndarray, need: float, exchanges: int = 2) -> np.ndarray:
+    """The landing of the documents still open: the choice whose tokens come nearest to ``need``, then whose number does;
+    what is then left of ``need`` is made up by exchanging decided documents of the same block."""
     open_ = np.nonzero((p > 0) & (p < 1))[0]
     best = min(range(1 << len(open_)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(open_) if m >> k & 1) - need), abs(bin(m).count("1") - p[open_].sum())))
     out = p.copy()
     for k, i in enumerate(open_):
         out[i] = best >> k & 1
+    left = need - float(sum(size[i] * out[i] for i in open_))
+    for _ in range(exchanges):  # a document inside for one outside whose size makes up what is left
+        ins, outs = np.nonzero(out == 1)[0], np.nonzero(out == 0)[0]
+        if abs(left) < 1 or not len(ins) or not len(outs):
+            break
+        outs = outs[np.argsort(size[outs], kind="stable")]
+        wish = np.searchsorted(size[outs], size[ins] + left)
+        j = np.stack([np.clip(wish - 1, 0, len(outs) - 1), np.clip(wish, 0, len(outs) - 1)])
+        miss = np.abs(size[outs[j]] - size[ins] - left)
+        row, k = np.unravel_index(miss.argmin(), miss.shape)
+        if miss[row, k] >= abs(left):
+            break
+        a, b = ins[k], outs[j[row, k]]
+        out[a], out[b] = 0.0, 1.0
+        left -= float(size[b] - size[a])
     return out
 
 
