@@ -1,7 +1,6 @@
 """Mapping free-entered values to the closest entry of a reference list, reporting those that match none.
 
-Method: the reference entries with their alias paths (aliases, inflections, abbreviations, words of the gloss that
-name one entry alone) are put into a trie, which is searched with a Levenshtein automaton: its state is the row of
+Method: the reference entries with their alias paths (aliases, synonyms, inflections, abbreviations) are put into a trie, which is searched with a Levenshtein automaton: its state is the row of
 edit distances (transpositions count one) between the value and the path so far, and a branch is left as soon as
 every state exceeds the bound. The bound depends on the value's length. All entries within it come back, best first.
 
@@ -100,7 +99,9 @@ class Trie:
 
     def __init__(self, entries: Iterable[tuple[str, tuple]]):
         self.root: dict = {}
+        self.longest = 0
         for key, payload in entries:
+            self.longest = max(self.longest, len(key))
             node = self.root
             for c in key:
                 node = node.setdefault(c, {})
@@ -109,6 +110,8 @@ class Trie:
     def search(self, word: str, bound: int) -> list[tuple[int, tuple]]:
         """(distance, payload) of every entry within ``bound`` edits of ``word``."""
         found: list[tuple[int, tuple]] = []
+        if len(word) > self.longest + bound:
+            return found
         first = list(range(len(word) + 1))
         stack = [(c, child, first, None, "") for c, child in self.root.items() if c]
         while stack:
@@ -148,15 +151,12 @@ def alias_paths(term: str, aliases: Iterable[str], entity: bool) -> list[tuple[s
     words = name.split()
     for n in range(3, len(words[0])):  # the first word cut short
         paths.setdefault(" ".join([words[0][:n], *words[1:]]), 2)
-        if len(words) > 1 and words[1] in ("by", "in", "to", "with", "from"):
-            break_ = " ".join([words[0][:n], *words[1:]])
-            paths.setdefault(break_, 2)
     return list(paths.items())
 
 
 @lru_cache(maxsize=8)
-def build_matcher(entries: tuple[tuple[str, tuple[str, ...]], ...], entity: bool) -> tuple[Trie, dict[str, str]]:
-    """The trie and the exact paths of a reference list of (term, aliases). An abbreviation that two terms share is dropped."""
+def build_matcher(entries: tuple[tuple[str, tuple[str, ...]], ...], entity: bool) -> Trie:
+    """The trie of a reference list of (term, aliases). An abbreviation that two terms share is dropped."""
     owners: dict[str, dict[str, int]] = {}
     for term, aliases in entries:
         for path, rank in alias_paths(term, aliases, entity):
@@ -169,12 +169,12 @@ def build_matcher(entries: tuple[tuple[str, tuple[str, ...]], ...], entity: bool
         terms = [t for t, r in by_term.items() if r == best]
         if best < 2 or len(terms) == 1:
             flat += [(key, (t, best, len(key))) for t in terms]
-    return Trie(flat), {}
+    return Trie(flat)
 
 
 def candidates(value: str, entries: tuple, entity: bool) -> list[tuple[int, int, str]]:
     """(distance, rank, term) of all entries within the bound, best first."""
-    trie, _ = build_matcher(entries, entity)
+    trie = build_matcher(entries, entity)
     norm = normalise(value)
     out: dict[str, tuple[int, int, str]] = {}
     for form in dict.fromkeys([norm, _LEAD.sub("", norm), _LEAD.sub("", _LEAD.sub("", norm))]):

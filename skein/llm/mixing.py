@@ -53,8 +53,8 @@ def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
 
 
 def document_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens), tokenised once and kept in the checkpoint folder."""
-    return checkpointed(documents.select("doc_id", "source", count_tokens(F.col("text"), path).alias("n_tokens")))
+    """(doc_id, source, n_tokens) of documents with an id, tokenised once and kept in the checkpoint folder."""
+    return checkpointed(documents.where("doc_id is not null").select("doc_id", "source", count_tokens(F.col("text"), path).alias("n_tokens")))
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:

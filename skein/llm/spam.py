@@ -209,7 +209,7 @@ class BaggedTrees:
 
 
 def featurise(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, <features>) of every page; a null text counts as empty. Texts are read whole."""
+    """(doc_id, source, <features>) of every page with an id; a null text counts as empty. Texts are read whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -217,7 +217,7 @@ def featurise(documents: DataFrame) -> DataFrame:
             yield pd.concat([pdf[["doc_id", "source"]].reset_index(drop=True), pd.DataFrame(values, columns=FEATURES)], axis=1)
 
     schema = "doc_id bigint, source string, " + ", ".join(f"{f} double" for f in FEATURES)
-    return documents.select("doc_id", "source", "text").mapInPandas(run, schema)
+    return documents.where("doc_id is not null").select("doc_id", "source", "text").mapInPandas(run, schema)
 
 
 def weak_label() -> Column:

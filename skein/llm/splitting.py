@@ -28,7 +28,9 @@ def chunk_pattern(limit: int, least: float = 0.5) -> str:
     low = max(1, int(limit * least))
     reach = f"{{{low},{limit}}}"
     boundaries = [r"(?<=\n[ \t\r]?\n)", r"(?<=[.!?…。][\"'”’)\]]?\s)", r"(?<=\n)", r"(?<=\s)"]
-    return "(?s)" + "|".join([rf".{{1,{limit}}}\z", *[f".{reach}{b}" for b in boundaries], f".{{1,{limit}}}"])
+    early = [rf".{{0,{limit - 2}}}\S\s"] if limit > 2 else []  # a boundary before the least filling is still one
+    whole = rf".{{1,{limit}}}(?![\p{{M}}\u200d\ufe0f])"  # no cut between a letter and its marks
+    return "(?s)" + "|".join([rf".{{1,{limit}}}\z", *[f".{reach}{b}" for b in boundaries], *early, whole, f".{{1,{limit}}}"])
 
 
 def split_text(text: Column, limit: int = 3000, overlap: int = 200) -> Column:
