@@ -14,6 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 #: Words of items that one task may hold; more items pass in blocks of this size.
 BLOCK_WORDS = 2_000_000
 GRAM = 4
+#: Documents that are looked up together; their words are in memory at once.
+DOCUMENTS_AT_ONCE = 500
 #: A run counts when its matched words less this penalty for each exchanged word reach LEAST_RUN.
 LEAST_RUN, PENALTY = 8, 2
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
@@ -147,19 +150,34 @@ class ItemIndex:
             i = best[i][1]
         return total, way[::-1]
 
-    def search(self, words: list[str], least: float) -> list[tuple[int, float, list[tuple[int, int, int, int]]]]:
-        """(item id, coverage, runs) of the items of which ``least`` of the words stand in the document."""
+    def search(self, docs: list[list[str]], least: float) -> list[tuple[int, int, float, list[tuple[int, int, int, int]]]]:
+        """(document, item id, coverage, runs) of the items of which ``least`` of the words stand in a document.
+
+        The documents are looked up together, as one run of words with a gap that belongs to no item between any two."""
         get = self.vocab.get
-        doc = np.fromiter((get(w, 0) for w in words), "int64", len(words))
-        at, item, pos = self.lookup(doc)
-        out = []
+        sizes = np.array([len(w) + 1 for w in docs], dtype="int64")
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        stream = chain.from_iterable((*map(get, w, repeat(0)), 0) for w in docs)
+        ids = np.fromiter(stream, "int64", int(starts[-1]))
+        at, item, pos = self.lookup(ids)
+        if not len(at):
+            return []
+        doc = np.searchsorted(starts, at, "right") - 1
+        pair = doc * len(self.ids) + item
+        order = np.argsort(pair, kind="stable")
+        pair, at, pos = pair[order], at[order], pos[order]
+        first = np.concatenate([[0], np.nonzero(np.diff(pair))[0] + 1, [len(pair)]])
+        n_hits, owner = np.diff(first), pair[first[:-1]]
         # a seed answers for ``gram`` + 1 words at most, so an item needs this many hits to reach its share
-        enough = np.bincount(item, minlength=len(self.ids)) * (self.gram + 1) >= least * self.sizes
-        for n in np.nonzero(enough)[0] if len(item) else ():
-            mine = item == n
-            matched, way = self.chain(self.runs(doc, n, at[mine], pos[mine]))
+        enough = n_hits * (self.gram + 1) >= least * self.sizes[owner % len(self.ids)]
+        out = []
+        for k in np.nonzero(enough)[0]:
+            d, n = divmod(int(owner[k]), len(self.ids))
+            part = slice(first[k], first[k + 1])
+            own = ids[starts[d] : starts[d + 1] - 1]
+            matched, way = self.chain(self.runs(own, n, at[part] - starts[d], pos[part]))
             if (share := matched / len(self.words[n])) >= least:
-                out.append((self.ids[n], share, way))
+                out.append((d, self.ids[n], share, way))
         return out
 
 
@@ -167,7 +185,7 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
     """The items, suite by suite, in blocks that fit a task. Null and empty texts have no passages."""
     block: list[tuple[int, str, list[str]]] = []
     size = 0
-    rows = items.where("text is not null").select("item_id", "suite", "text").orderBy("suite", "item_id")
+    rows = items.where("text is not null and item_id is not null").select("item_id", "suite", "text").orderBy("suite", "item_id")
     for row in rows.toLocalIterator():
         words = tokens(row.text)
         if len(words) < GRAM:
@@ -185,7 +203,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 1 / 3) -
     """(item_id, doc_id, coverage, first_word, last_word): documents that hold ``least`` or more of an item's words.
 
     first_word and last_word bound the passages in the document's words. A pair comes once; repeated document rows give
-    it again only where their texts differ (the greatest coverage stays). Empty tables give no rows."""
+    it again only where their texts differ (the greatest coverage stays). Rows without an id cannot be named and give
+    none. Empty tables give no rows."""
     schema = "item_id bigint, doc_id bigint, coverage double, first_word int, last_word int"
     out = None
     for block in item_blocks(items):
@@ -193,14 +212,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 1 / 3) -
         def scan(batches: Iterator[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
             index = ItemIndex(block)
             for pdf in batches:
-                rows = [
-                    (item, doc_id, share, way[0][2], way[-1][2] + way[-1][1] - way[-1][0])
-                    for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True)
-                    for item, share, way in index.search(tokens(text), least)
-                ]
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "coverage", "first_word", "last_word"])
-
-        hits = documents.where("text is not null").select("doc_id", "text").mapInPandas(scan, schema)
+                for k in range(0, len(pdf), DOCUMENTS_AT_ONCE):
+                    part = pdf.iloc[k : k + DOCUMENTS_AT_ONCE]
+                    found = index.search([tokens(t) for t in part["text"]], least)
+                    rows = [(item, part["doc_id"].iloc[d], share, way[0][2], way[-1][2] + way[-1][1] - way[-1][0]) for d, item, share, way in found]
+                    yield pd.DataFrame(rows, columns=["item_id", "doc_id", "coverage", "first_word", "last_word"])
+
+        hits = documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(scan, schema)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return documents.sparkSession.createDataFrame([], schema)
