@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip takes it.
-WS = r"[\s\x1c-\x1f]"
+WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SEPARATOR = r"\|{5}"
 
 
 def strip_ws(c: Column) -> Column:
     """Without surrounding white space of any kind (Spark's trim takes blanks only)."""
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS))
 
 
 def strip_fences(c: Column) -> Column:
