@@ -9,19 +9,14 @@ Java's ``.`` and Spark's ``length`` both count those. No Python, no shuffle: a t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEPARATOR = r"\|{5}"
-#: White space as Python's strip() takes it: Unicode's White_Space and the four ASCII information separators.
-_WS = r"[\s\x1c-\x1f]"
-
-
-def stripped(text: Column) -> Column:
-    """The text without surrounding white space."""
-    return F.regexp_replace(text, rf"(?U)^{_WS}+|(?U:{_WS})+\z", "")
-
+from skein.functions.text import strip_ws
 
+SEPARATOR = r"\|{5}"
 def chunk_pattern(limit: int, least: float = 0.5) -> str:
     """The regex whose successive matches are the chunks of a text. ``least`` of the limit must be filled before a weaker
     boundary is given up for; alternatives are tried from the strongest boundary to the bare character."""
@@ -43,24 +38,34 @@ def split_text(text: Column, limit: int = 3000, overlap: int = 200) -> Column:
         raise ValueError("the overlap must be smaller than the limit")
     body = limit - overlap
     chunks = F.when(F.length(text) <= limit, F.filter(F.array(text), lambda x: x != "")).otherwise(F.regexp_extract_all(text, F.lit(chunk_pattern(body)), 0))
-    sizes = F.transform(chunks, F.length)
 
-    def piece(chunk: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, n: a + n)
-        # the lookback, without the word that its window cuts, and from the first sentence start in it if there is one
-        back = F.substring(text, start - F.least(F.lit(overlap), start) + 1, F.least(F.lit(overlap), start))
-        from_sentence = F.regexp_extract(back, r"(?s)[.!?\n][\"'”’)\]]?\s+(\S.*)\z", 1)
-        from_word = F.regexp_extract(back, r"(?s)\s(\S.*)\z", 1)
-        repeated = F.when(i == 0, "").when(from_sentence != "", from_sentence).when(from_word != "", from_word).otherwise(back)
-        return F.struct(F.concat(repeated, chunk).alias("text"), start.alias("fresh_from"), F.length(repeated).alias("repeated"))
+    def piece(chunk: Column, start: Column) -> Column:
+        size = F.least(F.lit(overlap), start)
+        return _let(F.substring(text, start - size + 1, size), lambda back: _let(_repeated(back, start), lambda r: F.struct(F.concat(r, chunk).alias("text"), start.alias("fresh_from"), F.length(r).alias("repeated"))))
+
+    def pieces(cut: Column) -> Column:
+        starts = F.aggregate(cut, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+        return _let(starts, lambda at: F.transform(cut, lambda chunk, i: piece(chunk, F.get(at, i))))
+
+    return _let(chunks, pieces)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once: a lambda would compute it anew wherever it names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
 
-    return F.transform(chunks, piece)
+def _repeated(back: Column, start: Column) -> Column:
+    """The lookback without the word that its window cuts, from the first sentence start in it if there is one."""
+    sentence = F.regexp_extract(back, r"(?s)[.!?\n][\"'”’)\]]?\s+(\S.*)\z", 1)
+    word = F.regexp_extract(back, r"(?s)\s(\S.*)\z", 1)
+    return F.when(start == 0, "").otherwise(F.coalesce(F.nullif(sentence, F.lit("")), F.nullif(word, F.lit("")), back))
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
     """(row_id, document_index, text): members of ``clusters.document`` between separators, stripped, blank ones
     dropped before numbering. A null document has no members."""
-    parts = F.filter(F.transform(F.split("document", SEPARATOR), stripped), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("document", SEPARATOR), strip_ws), lambda x: x != "")
     return clusters.select("row_id", F.posexplode(parts).alias("document_index", "text"))
 
 
