@@ -27,6 +27,7 @@ FEATURES = ["link", "menu", "tag", "product", "stuffed", "junk", "density", "dis
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>", re.S | re.I)
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _MENU_COUNT = re.compile(r"[^\d().!?]{1,40} \(\d+\)")
+_ENCODED = re.compile(r"\S{50,}")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SEPARATORS = (" > ", " | ", " / ", ", ", " - ", " · ", " • ", "; ", " #")
@@ -94,6 +95,8 @@ def page_features(text: str) -> list[float]:
                 part["tag"] += len(line)
                 continue
         prose.append(line)
+    if _ENCODED.search(body):  # encoded blocks and rules are no words
+        prose = [line for raw in prose if (line := _ENCODED.sub(" ", raw).strip())]
     words = [w for line in prose for w in _WORD.findall(line.lower())]
     counts = Counter(words)
     density = 0.0
