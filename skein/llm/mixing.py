@@ -190,9 +190,9 @@ def share_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, target_share, share, max_repeats, documents, tokens, used_documents, mix_tokens, actual_share, most_copies) of
     every source; a source that is not in the mix has zeros, one without a target a target of 0."""
     got = mix.groupBy("source").agg(F.count("*").alias("used_documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
-    total = got.agg(F.sum("mix_tokens").alias("all_tokens"))
+    total = got.agg(F.sum("mix_tokens").alias("all_tokens")).scalar()
     got = got.withColumnRenamed("source", "mixed")
-    out = plan.join(got, F.col("source").eqNullSafe(F.col("mixed")), "left").crossJoin(F.broadcast(total))
+    out = plan.join(got, F.col("source").eqNullSafe(F.col("mixed")), "left").withColumn("all_tokens", total)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     actual = F.round(F.coalesce(F.try_divide(F.col("mix_tokens"), F.col("all_tokens")), F.lit(0.0)), 6).alias("actual_share")
     return out.select("source", "target_share", F.round("share", 6).alias("share"), "max_repeats", zero("documents"), zero("tokens"), zero("used_documents"), zero("mix_tokens"), actual, zero("most_copies"))

@@ -256,8 +256,8 @@ def score_pages(documents: DataFrame, host_weight: float = 0.3, host_prior: floa
     pages = features.select("doc_id", "source", "junk", (vote(*FEATURES) if model else F.col("junk")).alias("p_page"))
     pages = pages.withColumn("host", F.coalesce("source", F.lit("")))
     rates = pages.groupBy("host").agg(F.sum("p_page").alias("s"), F.count("*").alias("n"))
-    mean = rates.agg((F.sum("s") / F.sum("n")).alias("mean"))
-    rates = rates.crossJoin(F.broadcast(mean)).select("host", "mean", ((F.col("s") + host_prior * F.col("mean")) / (F.col("n") + host_prior)).alias("rate"))
+    mean = rates.agg((F.sum("s") / F.sum("n")).alias("mean")).scalar()
+    rates = rates.select("host", "s", "n", mean.alias("mean")).select("host", "mean", ((F.col("s") + host_prior * F.col("mean")) / (F.col("n") + host_prior)).alias("rate"))
 
     def logit(p: Column) -> Column:
         q = F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))
