@@ -32,6 +32,23 @@ def found_relations(documents: DataFrame) -> DataFrame:
     return flat.groupBy("cluster_id", F.col("p.s").alias("source"), F.col("p.t").alias("target")).agg(F.count("*").alias("support"))
 
 
+def mention_triples(texts: DataFrame) -> DataFrame:
+    """(cluster_id, source, relation, target) of consecutive different mentions as written, repeats kept: what a model
+    would give for each text. The relation is a constant label."""
+    m = F.regexp_extract_all("text", F.lit(MENTION), 1)
+    pairs = F.filter(F.transform(F.col("m"), lambda x, i: F.struct(x.alias("s"), F.get(F.col("m"), i + 1).alias("t"))), lambda p: p["t"].isNotNull() & (p["s"] != p["t"]))
+    flat = texts.select("cluster_id", m.alias("m")).select("cluster_id", F.explode(pairs).alias("p"))
+    return flat.select("cluster_id", F.col("p.s").alias("source"), F.lit("next_to").alias("relation"), F.col("p.t").alias("target"))
+
+
+def clustered_graph(texts: DataFrame) -> DataFrame:
+    """(cluster_id, source, relation, target): triples of all texts (chunks, documents), their ends rewritten to the
+    canonical spelling of their alias cluster, repeats merged."""
+    triples = mention_triples(texts)
+    names = triples.select("cluster_id", F.explode(F.array("source", "target")).alias("name"))
+    return canonical_triples(triples.distinct(), alias_clusters(names))
+
+
 def chunks(documents: DataFrame, size: int = 3000) -> DataFrame:
     """(cluster_id, document_index, chunk, text): consecutive pieces of ``size`` characters; empty texts give none."""
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))

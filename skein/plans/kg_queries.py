@@ -16,7 +16,7 @@ from skein.plans.engine import KGEngine, refine_loop
 from skein.schemas import Ontology
 from skein.sources import read_table
 from skein.sources.clusters import clean_documents, cluster_documents, join_documents
-from skein.sources.graphs import export_graph
+from skein.sources.graphs import export_graph, export_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,16 +105,25 @@ def graph_details(t: Callable) -> DataFrame:
     return graphs.details(*_nodes_edges(t))
 
 
-@query("""
-    WITH m AS (SELECT cluster_id, document_index, list_transform(regexp_extract_all(text, '([A-Z][a-z]{3,})', 1), lambda x: lower(x)) AS m FROM documents),
+_EXPORT = """
+    WITH m AS (SELECT cluster_id, document_index, list_transform(regexp_extract_all(text, '([A-Z][a-z]{3,})', 1), lambda x: lower(x)) AS m FROM %s),
          p AS (SELECT DISTINCT cluster_id, document_index, unnest(list_zip(m[1:len(m)-1], m[2:len(m)])) AS p FROM m WHERE len(m) > 1),
-         x AS (SELECT DISTINCT cluster_id, p[1] AS s, p[2] AS t FROM p WHERE p[1] <> p[2]),
-         n AS (SELECT cluster_id, s AS name FROM x UNION SELECT cluster_id, t FROM x)
+         x AS (SELECT DISTINCT cluster_id, p[1] AS s, p[2] AS t FROM p WHERE p[1] <> p[2])"""
+_FIRST_FIVE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY document_index) AS k FROM documents) WHERE k <= 5 AND trim(text) <> '')"
+
+
+@query(_EXPORT % _FIRST_FIVE + """, n AS (SELECT cluster_id, s AS name FROM x UNION SELECT cluster_id, t FROM x)
     SELECT x.cluster_id, (SELECT count(*) FROM n WHERE n.cluster_id = x.cluster_id) AS n_entities, count(*) AS n_relations FROM x GROUP BY x.cluster_id""")
 def kg_export(t: Callable) -> DataFrame:
-    found = finding.found_relations(t("documents")).withColumn("relation", F.lit("next_to"))
-    exported = export_graph(found)
-    return exported.select("cluster_id", F.size("entities").cast("bigint").alias("n_entities"), F.size("relations").cast("bigint").alias("n_relations"))
+    found = finding.found_relations(finding.first_documents(t("documents"))).withColumn("relation", F.lit("next_to"))
+    return export_graph(found).select("cluster_id", F.size("entities").cast("bigint").alias("n_entities"), F.size("relations").cast("bigint").alias("n_relations"))
+
+
+@query(_EXPORT % "documents" + """
+    SELECT cluster_id, 'entity' AS kind, s AS item FROM x UNION SELECT cluster_id, 'entity', t FROM x UNION SELECT DISTINCT cluster_id, 'edge', 'next_to' FROM x
+    UNION SELECT cluster_id, 'relation', '{"subject":"' || s || '","relation":"next_to","object":"' || t || '"}' FROM x""")
+def kg_export_rows(t: Callable) -> DataFrame:
+    return export_rows(finding.found_relations(t("documents")).withColumn("relation", F.lit("next_to")))
 
 
 # ---- B: parsing -----------------------------------------------------------------------------------------------------
@@ -273,12 +282,24 @@ def chunks_3000(t: Callable) -> DataFrame:
     return finding.chunks(t("documents")).select("cluster_id", "document_index", "chunk", F.md5("text").alias("text_md5"))
 
 
-@query(_PAIRS % "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY document_index) AS k FROM documents) WHERE k <= 5 AND trim(text) <> '')"
+@query(_PAIRS % _FIRST_FIVE
        + " SELECT DISTINCT cluster_id, p[1] AS source, p[2] AS target FROM p WHERE p[1] <> p[2]")
 def kg_aggregate_union(t: Callable) -> DataFrame:
     return finding.triple_union(finding.found_relations(finding.first_documents(t("documents"))))
 
 
+@query("""
+    WITH d AS (SELECT cluster_id, document_index, text FROM documents WHERE length(text) > 0), s AS (SELECT *, unnest(range(0, length(text), 3000)) AS start FROM d),
+    m AS (SELECT cluster_id, regexp_extract_all(substr(text, CAST(start + 1 AS BIGINT), 3000), '([A-Z][a-z]{3,})', 1) AS m FROM s),
+    p AS (SELECT cluster_id, unnest(list_zip(m[1:len(m)-1], m[2:len(m)])) AS p FROM m WHERE len(m) > 1), t AS (SELECT cluster_id, p[1] AS s, p[2] AS t FROM p WHERE p[1] <> p[2]),
+    n AS (SELECT cluster_id, name, lower(name) AS key, count(*) AS n FROM (SELECT cluster_id, s AS name FROM t UNION ALL SELECT cluster_id, t FROM t) GROUP BY 1, 2),
+    c AS (SELECT *, first_value(name) OVER (PARTITION BY cluster_id, key ORDER BY n DESC, name) AS canonical FROM n)
+    SELECT DISTINCT t.cluster_id, a.canonical AS source, 'next_to' AS relation, b.canonical AS target FROM t
+    JOIN c a ON a.cluster_id = t.cluster_id AND a.name = t.s JOIN c b ON b.cluster_id = t.cluster_id AND b.name = t.t""")
+def kg_chunked(t: Callable) -> DataFrame:
+    return finding.clustered_graph(finding.chunks(t("documents")))
+
+
 _ALIASES = f"""
     WITH {_ENT}, n AS (SELECT cluster_id, name, count(*) AS n, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key FROM ent WHERE name IS NOT NULL GROUP BY 1, 2),
          b AS (SELECT *, first_value(name) OVER (PARTITION BY cluster_id, key ORDER BY n DESC, name) AS canonical FROM n WHERE key <> '')"""

@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import strip_fences
-from skein.operators import parsing
 from skein.plans.prompts import repair_prompt
 from skein.session import checkpointed
 
@@ -102,6 +100,16 @@ class RuleModel:
         return {"reasoning_paths": [{"path": p, "description": " -> ".join(p), "confidence": 0.8} for p in found[:3]]}
 
 
+#: Models that can be had by name; others are passed as objects.
+MODELS = {"rules": RuleModel}
+
+
+def model_named(name: str) -> TextModel:
+    if name not in MODELS:
+        raise ValueError(f"unknown model: {name}")
+    return MODELS[name]()
+
+
 def run_model(prompts: DataFrame, model: TextModel, key: str = "cluster_id") -> DataFrame:
     """(key, answer) of prompts (key, prompt), batch by batch on the workers, checkpointed."""
 
@@ -118,9 +126,10 @@ def replay(prompts: DataFrame, recorded: DataFrame, key: str = "cluster_id") ->
     return prompts.select(key, F.sha2("prompt", 256).alias("prompt_hash")).join(recorded, "prompt_hash", "left").select(key, "answer")
 
 
-def with_repairs(answers: DataFrame, model: TextModel, parse, key: str = "cluster_id", max_repairs: int = MAX_REPAIRS) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
-    """(parsed, rejected): answers parsed by ``parse`` (df, key, text column), those that fail JSON sent back to the model
-    up to ``max_repairs`` times; what still fails, or fails the schema, is rejected with its reason.
+def with_repairs(answers: DataFrame, model: TextModel, parse, key: str = "cluster_id", max_repairs: int = MAX_REPAIRS, mend: tuple[str, ...] = ("json_error",)) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(parsed, rejected): answers parsed by ``parse`` (df, key, text column), those that fail by a kind of error in
+    ``mend`` sent back to the model up to ``max_repairs`` times; what still fails is rejected with its reason. The strict
+    one-shot mode is max_repairs=1 and mend=("json_error", "schema_error").
 
     Each turn handles only the rows that failed; one number a turn comes to the driver."""
     good, current = None, answers
@@ -129,14 +138,11 @@ def with_repairs(answers: DataFrame, model: TextModel, parse, key: str = "cluste
         ok = parsed.where("error is null")
         good = ok if good is None else good.unionByName(ok)
         bad = parsed.where("error is not null")
-        broken = bad.where("error = 'json_error'")
+        broken = bad.where(F.col("error").isin(*mend))
         if turn == max_repairs or broken.limit(1).count() == 0:
             return good, bad.select(key, "error", "reason")
         prompts = current.join(broken.select(key, "reason"), key).select(key, repair_prompt(F.col("answer"), F.col("reason")).alias("prompt"))
         fixed = run_model(prompts, model, key)
-        still = current.join(bad.where("error <> 'json_error'").select(key), key, "left_semi")
+        still = current.join(bad.where(~F.col("error").isin(*mend)).select(key), key, "left_semi")
         current = fixed.unionByName(still)
     raise AssertionError("unreachable")
-
-
-__all__ = ["RuleModel", "TextModel", "parsing", "replay", "run_model", "strip_fences", "with_repairs"]

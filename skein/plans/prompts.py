@@ -90,6 +90,11 @@ def legacy_prompt(ctx: Column) -> Column:
     return F.concat(F.lit("TASK: ontology\nExtract entities (PERSON, ORGANIZATION, LOCATION, EVENT, CONCEPT) and their relations as short verb phrases.\n" + _SHAPE % ("", "") + "\n\nDOCUMENTS:\n"), ctx)
 
 
+def pipeline_prompt(ctx: Column) -> Column:
+    """The shorter form: no ontology, no source documents."""
+    return F.concat(F.lit('TASK: ontology\nExtract a graph as JSON: {"entities": [{"id", "name", "type", "document_frequency", "confidence"}], "relations": [{"source", "target", "relation_type", "support_count", "confidence"}]}\n\nDOCUMENTS:\n'), ctx)
+
+
 def summary_prompt(description: Column, ctx: Column) -> Column:
     return F.concat(F.lit("TASK: summary\nSummarise in three or four sentences, grounded in graph and documents.\n\n"), description, F.lit("\n\nDOCUMENTS:\n"), ctx)
 

@@ -34,9 +34,19 @@ def aliases(kggen: DataFrame) -> DataFrame:
     return kggen.select(F.explode("entity_clusters").alias("canonical", "a")).select("canonical", F.explode("a").alias("alias"))
 
 
+def export_rows(triple_rows: DataFrame) -> DataFrame:
+    """(cluster_id, kind, item): the distinct entities, edge labels and triples of (cluster_id, source, relation, target),
+    one row each, whatever the size of a cluster. Sorted order is a matter of writing: sort within range partitions."""
+    part = lambda kind, c: triple_rows.select("cluster_id", F.lit(kind).alias("kind"), c.alias("item"))
+    triple = F.to_json(F.struct(F.col("source").alias("subject"), "relation", F.col("target").alias("object")))
+    every = part("entity", F.col("source")).unionByName(part("entity", F.col("target"))).unionByName(part("edge", F.col("relation"))).unionByName(part("relation", triple))
+    return every.distinct()
+
+
 def export_graph(triple_rows: DataFrame) -> DataFrame:
     """(cluster_id, entities, edges, relations): per cluster the sorted sets of names, labels and triples, of
-    (cluster_id, source, relation, target). A cluster becomes one record, so this is for graphs of bounded size."""
+    (cluster_id, source, relation, target). A cluster becomes one record, so this is for graphs of bounded size, such as
+    those of a cluster's first documents; ``export_rows`` is for all others."""
     return triple_rows.groupBy("cluster_id").agg(
         F.array_sort(F.array_union(F.collect_set("source"), F.collect_set("target"))).alias("entities"),
         F.array_sort(F.collect_set("relation")).alias("edges"),

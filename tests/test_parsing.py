@@ -170,3 +170,22 @@ def test_stream(spark, tmp_path):
         accumulate.accumulate_stream(spark, src, df.schema, out, cp).awaitTermination()
     got = spark.read.parquet(f"{out}/v=2").first()
     assert (got.first.name, got.document_frequency, got.confidence) == ("Ann", 3, 1.0)
+
+
+def test_strict_one_shot_repair(spark):
+    """Relations to undeclared entities go back to the model once."""
+
+    class Mender:
+        def complete(self, asked):
+            return ['{"entities": []}' if "unknown entity" in p else '{"relations": [{"source": "a", "target": "b", "relation_type": "T"}]}' for p in asked]
+
+    ask = spark.createDataFrame([("a", "hello")], "cluster_id string, prompt string")
+    strict = lambda df, key, text: parsing.parse_graphs(df, key, text, strict=True)
+    answers = models.run_model(ask, Mender())
+    good, bad = models.with_repairs(answers, Mender(), strict, max_repairs=1, mend=("json_error", "schema_error"))
+    assert good.count() == 1 and bad.count() == 0
+    good, bad = models.with_repairs(answers, Mender(), strict)
+    assert good.count() == 0 and bad.first().error == "schema_error"
+    with pytest.raises(ValueError):
+        models.model_named("other")
+    assert isinstance(models.model_named("rules"), models.RuleModel)
