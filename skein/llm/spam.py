@@ -30,6 +30,7 @@ _MENU_COUNT = re.compile(r"[^\d().!?]{1,40} \(\d+\)")
 _ENCODED = re.compile(r"\S{50,}")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_MARKS = (" > ", " | ", " / ", " - ", " · ", " • ", " (", "#")
 _SEPARATORS = (" > ", " | ", " / ", ", ", " - ", " · ", " • ", "; ", " #")
 #: Frequent words of the four languages that are no keywords.
 _COMMON = frozenset(
@@ -66,7 +67,7 @@ def page_features(text: str) -> list[float]:
         body = _ANCHOR.sub("\n", body)
     prose: list[str] = []
     urls = "http" in body or "www." in body
-    marked = any(s in body for s in _SEPARATORS[:3]) or "#" in body or " - " in body or " (" in body or body.count(", ") > 5
+    marked = any(s in body for s in _MARKS) or body.count(", ") > 5 or body.count("; ") > 5
     for raw in body.split("\n"):
         line = raw.strip()
         if not line:
@@ -103,7 +104,7 @@ def page_features(text: str) -> list[float]:
     for word, n in counts.most_common(12):
         if word not in _COMMON:
             density = n / len(words)
-            if n >= 4 or len(prose) > 8:
+            if n >= 4 or len(prose) > 8 or sum(k for w, k in counts.items() if w in _COMMON) < 0.1 * len(words):
                 part["stuffed"] = _stuffed(prose)
             break
     junk = sum(part.values())

@@ -12,7 +12,7 @@ ARTICLE = (
 JUNK = {
     "links": "\n".join(f"- Item {k} https://a{k}.example/p?id={k}" for k in range(20)), "anchors": "".join(f'<a href="https://x.test/{k}">page {k}</a>' for k in range(20)),
     "menu": "Home > Login > Cart mill > Terms > Print > Share\n" + "\n".join(f"Cabinet ({k})" for k in range(20)), "tags": " ".join(f"#tag{k}" for k in range(40)), "slashes": " / ".join(f"word{chr(97 + k)} mill" for k in range(20)),
-    "products": "\n".join(f"Red mug A{k} | 12 cm | EUR {k}.50 | new" for k in range(20)), "lines": "\n".join(f"{w} repair Town{chr(97 + k)}" for k, w in enumerate(["helmet", "lamp", "boots"] * 9)),
+    "semicolons": "Filed under: " + "; ".join(f"old word{chr(97 + k)}" for k in range(20)), "products": "\n".join(f"Red mug A{k} | 12 cm | EUR {k}.50 | new" for k in range(20)), "lines": "\n".join(f"{w} repair Town{chr(97 + k)}" for k, w in enumerate(["helmet", "lamp", "boots"] * 9)),
     "sentences": " ".join(f"The scooter that the {w} left is a red scooter, and the owner of that scooter wants it back." for w in ["judge", "nurse", "pilot", "miner", "clerk", "guard"]),
     "heap": "buy boots cheap boots online lamp store lamp sale boots outlet lamp price boots review lamp best boots order lamp shipping boots new lamp",
 }
