@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 UNMATCHED = "UNMATCHED"
 MAX_ENTRIES = 100_000
+#: Matched values that a task remembers before it forgets them all.
+KEPT_VALUES = 200_000
 
 #: Further words and word forms by which a term of the closed lists is commonly meant.
 SYNONYMS = {
@@ -198,11 +200,16 @@ def closest(value: str, entries: tuple, entity: bool) -> str:
 
 
 def match_values(value: Column, entries: tuple, entity: bool) -> Column:
-    """The column of closest terms (null stays null)."""
+    """The column of closest terms (null stays null). A task keeps what it has matched, up to KEPT_VALUES values."""
+    known: dict[str, str] = {}
 
     @F.pandas_udf("string")
     def match(values: pd.Series) -> pd.Series:
-        known = {v: closest(v, entries, entity) for v in values.dropna().unique()}
+        new = [v for v in values.dropna().unique() if v not in known]
+        if len(known) + len(new) > KEPT_VALUES:
+            known.clear()
+            new = list(values.dropna().unique())
+        known.update((v, closest(v, entries, entity)) for v in new)
         return values.map(known, na_action="ignore")
 
     return match(value)
