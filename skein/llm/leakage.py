@@ -26,6 +26,8 @@ BLOCK_WORDS = 2_000_000
 GRAM = 4
 #: Documents that are looked up together; their words are in memory at once.
 DOCUMENTS_AT_ONCE = 500
+#: Counters of documents and items that are in memory at once.
+PAIRS_AT_ONCE = 5_000_000
 #: A run counts when its matched words less this penalty for each exchanged word reach LEAST_RUN.
 LEAST_RUN, PENALTY = 8, 2
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
@@ -112,20 +114,20 @@ class ItemIndex:
         index = np.repeat(self.starts[slot] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
         return np.repeat(where, reps), self.item[index], self.at[index]
 
-    def runs(self, doc: np.ndarray, n: int, seeds_doc: np.ndarray, seeds_item: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item start, item end, document start, matched words) of the passages of item n along the seeds' diagonals."""
+    def runs(self, doc: np.ndarray, n: int, diagonals: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item start, item end, document start, matched words) of the passages of item n along the diagonals given."""
         own, first = self.words[n], self.skip[n]
         out = []
-        for d in np.unique(seeds_doc - seeds_item):
+        for d in diagonals.tolist():
             lo, hi = max(first, -d), min(len(own), len(doc) - d)
-            same = own[lo:hi] == doc[lo + d : hi + d]
-            at = np.nonzero(same)[0]
-            if not len(at):
-                continue
-            for part in np.split(at, np.nonzero(np.diff(at) > 2)[0] + 1):
-                holes = int(part[-1] - part[0] + 1 - len(part))
-                if len(part) - PENALTY * holes >= LEAST_RUN:
-                    out.append((int(lo + part[0]), int(lo + part[-1] + 1), int(lo + d + part[0]), len(part)))
+            at = np.nonzero(own[lo:hi] == doc[lo + d : hi + d])[0].tolist()
+            begin = 0
+            for k in range(1, len(at) + 1):
+                if k == len(at) or at[k] - at[k - 1] > 2:
+                    matched, holes = k - begin, at[k - 1] - at[begin] + 1 - (k - begin)
+                    if matched - PENALTY * holes >= LEAST_RUN:
+                        out.append((lo + at[begin], lo + at[k - 1] + 1, lo + d + at[begin], matched))
+                    begin = k
         return out
 
     @staticmethod
@@ -164,18 +166,25 @@ class ItemIndex:
             return []
         doc = np.searchsorted(starts, at, "right") - 1
         pair = doc * len(self.ids) + item
-        order = np.argsort(pair, kind="stable")
-        pair, at, pos = pair[order], at[order], pos[order]
-        first = np.concatenate([[0], np.nonzero(np.diff(pair))[0] + 1, [len(pair)]])
-        n_hits, owner = np.diff(first), pair[first[:-1]]
-        # a seed answers for ``gram`` + 1 words at most, so an item needs this many hits to reach its share
-        enough = n_hits * (self.gram + 1) >= least * self.sizes[owner % len(self.ids)]
+        # a seed answers for ``gram`` + 1 words at most, so an item needs this many hits to reach its share; most pairs
+        # have a few common phrases and are left here, before anything is sorted
+        hits = np.bincount(pair, minlength=len(docs) * len(self.ids)).reshape(len(docs), -1)
+        kept = (hits * (self.gram + 1) >= least * self.sizes).ravel()[pair]
+        pair, at, pos = pair[kept], at[kept], pos[kept]
+        # of the rest, the seeds of one diagonal are counted together: a passage puts two on its diagonal at least
+        shift = at - pos - starts[pair // len(self.ids)]
+        order = np.lexsort((shift, pair))
+        pair, shift = pair[order], shift[order]
+        first = np.nonzero(np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(shift) != 0)]))[0] if len(pair) else np.zeros(0, "int64")
+        count = np.diff(np.concatenate([first, [len(pair)]]))
+        pair, shift, count = pair[first][count > 1], shift[first][count > 1], count[count > 1]
         out = []
-        for k in np.nonzero(enough)[0]:
-            d, n = divmod(int(owner[k]), len(self.ids))
-            part = slice(first[k], first[k + 1])
-            own = ids[starts[d] : starts[d + 1] - 1]
-            matched, way = self.chain(self.runs(own, n, at[part] - starts[d], pos[part]))
+        edge = np.concatenate([[0], np.nonzero(np.diff(pair))[0] + 1, [len(pair)]]) if len(pair) else np.zeros(1, "int64")
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            d, n = divmod(int(pair[a]), len(self.ids))
+            if int(count[a:b].sum()) * (self.gram + 1) < least * self.sizes[n]:
+                continue
+            matched, way = self.chain(self.runs(ids[starts[d] : starts[d + 1] - 1], n, shift[a:b]))
             if (share := matched / len(self.words[n])) >= least:
                 out.append((d, self.ids[n], share, way))
         return out
@@ -211,9 +220,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 1 / 3) -
 
         def scan(batches: Iterator[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
             index = ItemIndex(block)
+            step = max(1, min(DOCUMENTS_AT_ONCE, PAIRS_AT_ONCE // len(block)))
             for pdf in batches:
-                for k in range(0, len(pdf), DOCUMENTS_AT_ONCE):
-                    part = pdf.iloc[k : k + DOCUMENTS_AT_ONCE]
+                for k in range(0, len(pdf), step):
+                    part = pdf.iloc[k : k + step]
                     found = index.search([tokens(t) for t in part["text"]], least)
                     rows = [(item, part["doc_id"].iloc[d], share, way[0][2], way[-1][2] + way[-1][1] - way[-1][0]) for d, item, share, way in found]
                     yield pd.DataFrame(rows, columns=["item_id", "doc_id", "coverage", "first_word", "last_word"])
