@@ -39,12 +39,12 @@ def find_orphans(
         on = reduce(lambda a, b: a & b, [df[f"`{c}`"] == right[f"__p_{keys[c]}"] for c in kept])
         return df.join(right, on if visible is None else on & visible, "left_anti")
 
+    if match == "full":  # a null equals nothing, so one anti-join keeps the partly null ones as orphans
+        return anti(refs.where(f"null_mask < {every}"), cols)
     out = anti(refs.where("null_mask = 0"), cols)
     if match == "simple":
         return out
     some = refs.where(f"null_mask > 0 and null_mask < {every}")
-    if match == "full":
-        return out.unionByName(some)
     for m in sorted(r[0] for r in some.select("null_mask").distinct().collect()):
         out = out.unionByName(anti(some.where(F.col("null_mask") == m), [c for i, c in enumerate(cols) if not m >> i & 1]))
     return out
