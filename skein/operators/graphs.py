@@ -7,7 +7,7 @@ of the last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import clamp01
@@ -35,14 +35,14 @@ def span_rows(spans: DataFrame) -> DataFrame:
 
 def nodes(entities: DataFrame, keys: list[str] = EMISSION) -> DataFrame:
     """(keys, id, first_ord, name, type, document_frequency, confidence): one row an id; rows without an id are no nodes."""
-    last = F.max_by(F.struct("name", "type", "document_frequency", "confidence"), "ord").alias("a")
+    last = F.max_by(F.struct("name", "type", "document_frequency", "confidence"), F.struct("ord", "entity_pk")).alias("a")
     return entity_rows(entities).where("id <> ''").groupBy(*keys, "id").agg(F.min("ord").alias("first_ord"), last).select(*keys, "id", "first_ord", "a.*")
 
 
 def edges(relations: DataFrame, keys: list[str] = EMISSION) -> DataFrame:
     """(keys, source, target, first_ord, relation_type, support_count, confidence): one edge an ordered pair. Relations
     with a null or empty endpoint are no edges."""
-    last = F.max_by(F.struct("relation_type", "support_count", "confidence"), "ord").alias("a")
+    last = F.max_by(F.struct("relation_type", "support_count", "confidence"), F.struct("ord", "relation_pk")).alias("a")
     rows = relation_rows(relations).where("source <> '' and target <> ''")
     return rows.groupBy(*keys, "source", "target").agg(F.min("ord").alias("first_ord"), last).select(*keys, "source", "target", "first_ord", "a.*")
 
