@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.graphs import EMISSION, all_nodes, degrees
 from skein.schemas import FEATURE_TYPES
+from skein.session import checkpointed
 
 FEATURES = [*[f"is_{t.lower()}" for t in FEATURE_TYPES], "df_norm", "confidence", "degree_norm"]
 HEADS = ["consistency", "missing_entities", "contradictions", "fragmentation"]
@@ -81,7 +82,9 @@ def forward(features: DataFrame, edge_rows: DataFrame, weights: dict[str, np.nda
         out = propagate(df, edge_rows, cols, keys).withColumn("h", dense(cols, weights[w], weights[b]))
         return out.select(*keys, "id", *[F.col("h")[i].alias(c) for i, c in enumerate(hidden)])
 
-    h = layer(layer(features, FEATURES, "w1", "b1"), hidden, "w2", "b2")
+    # each layer reads its input and the edges several times, so the lineage is cut between layers
+    features, edge_rows = checkpointed(features), checkpointed(edge_rows)
+    h = layer(checkpointed(layer(features, FEATURES, "w1", "b1")), hidden, "w2", "b2")
     pooled = h.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in hidden])
     z = pooled.withColumn("z", dense(hidden, weights["w3"], weights["b3"], relu=False))
     return z.select(*keys, *[(1 / (1 + F.exp(-F.col("z")[i]))).alias(c) for i, c in enumerate(HEADS)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import fenced_block, strip_fences
 from skein.operators import auditing, corruption, features, finding, flatten, graphs, merging, parsing, scoring
-from skein.plans import prompts
+from skein.plans import pipelines, prompts
 from skein.plans.engine import KGEngine, refine_loop
 from skein.schemas import Ontology
 from skein.sources import read_table
@@ -752,3 +752,13 @@ def extract_full_pipeline(t: Callable) -> DataFrame:
 @query()
 def summaries(t: Callable) -> DataFrame:
     return scoring.extractive_summaries(t("documents"))
+
+
+@query()
+def pipeline_run(t: Callable) -> DataFrame:
+    return pipelines.run_pipeline(t("documents"))
+
+
+@query()
+def validator_run(t: Callable) -> DataFrame:
+    return pipelines.run_validator(*_nodes_edges(t))
