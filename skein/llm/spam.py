@@ -1,15 +1,18 @@
 """Keyword-stuffed, link-list, menu and tag pages.
 
 Method: bagged decision trees are trained on content and link features from weak labels; page predictions are then
-smoothed by the spam rate of the page's host (``source``). Features of all pages are computed once and written to the
+smoothed by the spam rate of the page's host (``source``). The labels come from signals that are no features: the share
+of function words and how far the page compresses. Features of all pages are computed once and written to the
 checkpoint folder; trees are fitted on a bounded sample of weakly labelled pages (``SAMPLE_ROWS``), everything else
-(features, host rates, predictions) covers every page. Of the pages that the smoothed model suspects, an exact check
-keeps those of which more than half of the characters are junk.
+(features, host rates, predictions) covers every page. Of the pages that the smoothed model suspects, those are kept of
+which more than half of the characters are counted as junk. Pages whose junk the count misses are admitted by the
+smoothed score (``ADMIT``) where less than half of the characters stand in pieces that read as sentences.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +25,13 @@ from skein.session import checkpointed
 
 #: Bound of the labelled sample that the trees are fitted on.
 SAMPLE_ROWS = 8_000
-FEATURES = ["link", "menu", "tag", "product", "stuffed", "junk", "density", "distinct", "prose", "links_per_word"]
+#: What is counted of a page; the trees see all but the sums, by which pages are confirmed.
+COUNTED = ["link", "menu", "tag", "product", "stuffed", "junk", "density", "distinct", "prose", "links_per_word", "ended", "line_words"]
+FEATURES = [c for c in COUNTED if c not in ("junk", "prose")]
+#: What pages are labelled by (function, novel) and what admits those that the count misses (said).
+SIGNALS = ["function", "novel", "said"]
+#: Smoothed score from which a page is admitted without a count of junk over one half.
+ADMIT = 0.5
 
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>", re.S | re.I)
 _URL = re.compile(r"(?:https?://|www\.)\S+")
@@ -41,6 +50,8 @@ _COMMON = frozenset(
     "los las una por con para que del sus años ante sin antes como ahora".split()
 )
 _SHORT = frozenset("a an of to in on at by as is it he she we or if no so up de la le un el y en es et du au il on zu am im an so er es um".split())
+_FUNCTION = _COMMON | _SHORT
+_ENDS = ".!?…\"'”’)"
 
 
 def _items(line: str) -> tuple[float, int]:
@@ -56,7 +67,7 @@ def page_features(text: str) -> list[float]:
     """The features of one page, as shares of its characters where they are shares. All zero for an empty page."""
     total = len(text.strip())
     if not total:
-        return [0.0] * len(FEATURES)
+        return [0.0] * len(COUNTED)
     part = dict.fromkeys(("link", "menu", "tag", "product", "stuffed"), 0)
     n_links = 0
     body = text
@@ -66,6 +77,9 @@ def page_features(text: str) -> list[float]:
         part["link"] += sum(map(len, found))
         body = _ANCHOR.sub("\n", body)
     prose: list[str] = []
+    lines = [line for raw in text.split("\n") if (line := raw.strip())]
+    ended = sum(len(line) for line in lines if line[-1] in _ENDS)
+    line_words = min(40.0, len(text.split()) / len(lines))
     urls = "http" in body or "www." in body
     marked = any(s in body for s in _MARKS) or body.count(", ") > 5 or body.count("; ") > 5
     for raw in body.split("\n"):
@@ -96,7 +110,7 @@ def page_features(text: str) -> list[float]:
                 part["tag"] += len(line)
                 continue
         prose.append(line)
-    if _ENCODED.search(body):  # encoded blocks and rules are no words
+    if max(map(len, body.split()), default=0) >= 50:  # encoded blocks and rules are no words
         prose = [line for raw in prose if (line := _ENCODED.sub(" ", raw).strip())]
     words = [w for line in prose for w in _WORD.findall(line.lower())]
     counts = Counter(words)
@@ -109,7 +123,23 @@ def page_features(text: str) -> list[float]:
             break
     junk = sum(part.values())
     return [part["link"] / total, part["menu"] / total, part["tag"] / total, part["product"] / total, part["stuffed"] / total, min(1.0, junk / total),
-            density, len(counts) / max(1, len(words)), max(0.0, 1 - junk / total), n_links / max(1, len(words))]
+            density, len(counts) / max(1, len(words)), max(0.0, 1 - junk / total), n_links / max(1, len(words)), ended / total, line_words]
+
+
+def page_signals(text: str) -> list[float]:
+    """Of one page: the share of function words, the size of its distinct pieces when compressed, and the share of its
+    characters in pieces that read as sentences, with or without their full stop. Encoded blocks count as nothing."""
+    body = _ENCODED.sub(" ", text) if max(map(len, text.split()), default=0) >= 50 else text
+    pieces = [s for line in body.split("\n") for s in _SENTENCE.split(line.strip()) if s]
+    n_words = n_function = said = total = 0
+    for s in pieces:
+        words = s.lower().split()
+        k = sum(map(_FUNCTION.__contains__, words))
+        n_words, n_function, total = n_words + len(words), n_function + k, total + len(s)
+        if len(words) >= 5 and k >= 0.12 * len(words):
+            said += len(s)
+    once = "\n".join(dict.fromkeys(pieces)).encode("utf-8", "replace")
+    return [n_function / max(1, n_words), len(zlib.compress(once, 1)) / len(once) if once.strip() else 0.0, said / max(1, total)]
 
 
 def _stuffed(prose: list[str]) -> int:
@@ -126,12 +156,16 @@ def _stuffed(prose: list[str]) -> int:
     short: Counter = Counter()
     heavy, shorts = set(), []
     for s, bag in bags.items():
-        own = Counter(bag)
-        twice.update(w for w, n in own.items() if n >= 2)
+        own = set(bag)
+        top = 1
+        if len(own) < len(bag):  # most sentences repeat no word
+            again = Counter(bag)
+            twice.update(w for w, n in again.items() if n >= 2)
+            top = max(again.values())
         if len(bag) <= 5 and bag and s[-1] not in ".!?":
             shorts.append((s, bag))
-            short.update(own.keys())
-        if len(bag) >= 8 and ((top := own.most_common(1)[0])[1] >= 4 and top[1] >= 0.15 * len(bag) or _heap(s)):
+            short.update(own)
+        if len(bag) >= 8 and (top >= 4 and top >= 0.15 * len(bag) or _heap(s)):
             heavy.add(s)
     keys = {w for w, n in twice.items() if n >= 3}
     lines: set[str] = set()
@@ -213,20 +247,22 @@ class BaggedTrees:
 
 
 def featurise(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, <features>) of every page with an id; a null text counts as empty. Texts are read whole."""
+    """(doc_id, source, <counts>, <signals>) of every page with an id; a null text counts as empty. Texts are read whole."""
+    columns = COUNTED + SIGNALS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = np.array([page_features(t or "") for t in pdf["text"]], dtype="float64").reshape(len(pdf), len(FEATURES))
-            yield pd.concat([pdf[["doc_id", "source"]].reset_index(drop=True), pd.DataFrame(values, columns=FEATURES)], axis=1)
+            values = np.array([page_features(t or "") + page_signals(t or "") for t in pdf["text"]], dtype="float64").reshape(len(pdf), len(columns))
+            yield pd.concat([pdf[["doc_id", "source"]].reset_index(drop=True), pd.DataFrame(values, columns=columns)], axis=1)
 
-    schema = "doc_id bigint, source string, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = "doc_id bigint, source string, " + ", ".join(f"{f} double" for f in columns)
     return documents.where("doc_id is not null").select("doc_id", "source", "text").mapInPandas(run, schema)
 
 
 def weak_label() -> Column:
-    """1 for pages that are plainly junk, 0 for plain prose, null (abstained) between."""
-    return F.when(F.col("junk") >= 0.6, 1).when(F.col("junk") <= 0.35, 0)
+    """1 for pages almost without function words or that say the same again and again, 0 for plain prose, null
+    (abstained) between and for empty pages. Neither signal is a feature."""
+    return F.when(F.col("novel") == 0, None).when((F.col("function") < 0.18) | (F.col("novel") < 0.3), 1).when((F.col("function") >= 0.22) & (F.col("novel") >= 0.45), 0)
 
 
 def train(features: DataFrame, rows: int = SAMPLE_ROWS) -> BaggedTrees | None:
@@ -243,7 +279,8 @@ def train(features: DataFrame, rows: int = SAMPLE_ROWS) -> BaggedTrees | None:
 
 
 def score_pages(documents: DataFrame, host_weight: float = 0.3, host_prior: float = 20.0) -> DataFrame:
-    """(doc_id, source, junk, p_page, p): the trees' vote and the vote smoothed by the host's mean vote.
+    """(doc_id, source, junk, said, worded, p_page, p): the trees' vote and the vote smoothed by the host's mean vote. A vote is
+    taken for no surer than its number of trees allows, so that the host counts.
 
     Hosts with few pages are drawn to the mean of all (``host_prior`` pages); pages without a source form one host.
     Where a label does not occur, the junk share itself is the vote."""
@@ -254,27 +291,36 @@ def score_pages(documents: DataFrame, host_weight: float = 0.3, host_prior: floa
     def vote(*cols: pd.Series) -> pd.Series:
         return pd.Series(model.predict(np.column_stack([c.to_numpy("float64") for c in cols])))  # type: ignore[union-attr]
 
-    pages = features.select("doc_id", "source", "junk", (vote(*FEATURES) if model else F.col("junk")).alias("p_page"))
+    pages = features.select("doc_id", "source", "junk", "said", (F.col("novel") > 0).alias("worded"), (vote(*FEATURES) if model else F.col("junk")).alias("p_page"))
     pages = pages.withColumn("host", F.coalesce("source", F.lit("")))
     rates = pages.groupBy("host").agg(F.sum("p_page").alias("s"), F.count("*").alias("n"))
     mean = rates.agg((F.sum("s") / F.sum("n")).alias("mean")).scalar()
     rates = rates.select("host", "s", "n", mean.alias("mean")).select("host", "mean", ((F.col("s") + host_prior * F.col("mean")) / (F.col("n") + host_prior)).alias("rate"))
 
+    least = 1 / ((model.n if model else 15) + 2)
+
     def logit(p: Column) -> Column:
-        q = F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))
+        q = F.least(F.greatest(p, F.lit(least)), F.lit(1 - least))
         return F.log(q / (1 - q))
 
     z = logit(F.col("p_page")) + host_weight * (logit(F.col("rate")) - logit(F.col("mean")))
-    return pages.join(rates, "host").select("doc_id", "source", "junk", "p_page", (1 / (1 + F.exp(-z))).alias("p"))
+    return pages.join(rates, "host").select("doc_id", "source", "junk", "said", "worded", "p_page", (1 / (1 + F.exp(-z))).alias("p"))
+
+
+def is_spam(suspect: float = 0.2) -> Column:
+    """Suspected by the smoothed model and, on count, more than half junk; or admitted by it and less than half sentences.
+    A page of nothing but encoded blocks has no words that could be sentences, and is not admitted."""
+    counted = (F.col("p") > suspect) & (F.col("junk") > 0.5)
+    return counted | ((F.col("p") > ADMIT) & (F.col("said") < 0.5) & F.col("worded"))
 
 
 def spam_pages(documents: DataFrame, suspect: float = 0.2) -> DataFrame:
-    """(doc_id) of junk pages: suspected by the smoothed model and, on exact count, more than half junk."""
-    return score_pages(documents).where((F.col("p") > suspect) & (F.col("junk") > 0.5)).select("doc_id").distinct()
+    """(doc_id) of junk pages."""
+    return score_pages(documents).where(is_spam(suspect)).select("doc_id").distinct()
 
 
 def host_report(documents: DataFrame) -> DataFrame:
     """(source, pages, spam_pages, spam_rate) of every host."""
     scored = score_pages(documents)
-    spam = ((F.col("p") > 0.2) & (F.col("junk") > 0.5)).cast("int")
+    spam = is_spam().cast("int")
     return scored.groupBy("source").agg(F.count("*").alias("pages"), F.sum(spam).alias("spam_pages"), F.avg(spam).alias("spam_rate"))

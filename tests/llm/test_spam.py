@@ -56,3 +56,23 @@ def test_trees_held_out():
     model = spam.BaggedTrees(9, 6).fit(x[:2000], y[:2000])
     assert ((model.predict(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.97
     assert spam.BaggedTrees().fit(x[:50] * 0, y[:50]).predict(x[:3]).shape == (3,)
+
+
+def test_admits_what_the_count_misses(spark):
+    """A list of tags, one a line and none twice, is no junk to the count; the votes admit it. Articles stay out."""
+    rng = np.random.default_rng(4)
+    tags = lambda: "\n".join("".join(rng.choice(["ba", "ko", "ru", "ti", "gre", "su"], 3)) + " " + "".join(rng.choice(["mol", "ten", "vi", "da"], 3)) for _ in range(40))
+    pages = [tags() for _ in range(4)]
+    assert all(spam.page_features(t)[5] <= 0.5 for t in pages)
+    rows = [(k, f"h{k % 3}", t) for k, t in enumerate([*JUNK.values(), *FINE.values()] * 6)] + [(500 + k, "h1", t) for k, t in enumerate(pages)]
+    got = {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    n = len(JUNK) + len(FINE)
+    assert got == {k for k in range(6 * n) if k % n < len(JUNK)} | {500, 501, 502, 503}
+
+
+def test_host_can_decide(spark):
+    """No vote is so sure that the rate of its host can't bring it over the bound of suspicion."""
+    prose = [ARTICLE + f"\nIt was said on day {k} that the ferry of the town would be late for the market." for k in range(60)]
+    rows = [(k, "clean", t) for k, t in enumerate(prose)] + [(100 + k, "bad", JUNK["links"]) for k in range(200)] + [(400, "bad", prose[0])]
+    p = {r.doc_id: r.p for r in spam.score_pages(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), 1.0).collect()}
+    assert p[400] > 0.2 > p[0]
