@@ -7,6 +7,10 @@ rare the rewriting is there: a full name speaks for itself, while an initial, a
 linked only where it can mean one person or body of that cluster. Links pass over one full name in between, which
 joins two different misspellings of it.
 
+The lists only add forms: a name outside them (unlisted given names, three words and more, short names of bodies, single
+words) meets its variants under its folded words in any order, abbreviations written out, and a plain pair of words is
+read as given and family name as well. Names of the same words are the same, however they are read.
+
 The distinctive token (family name, place or own name of a body) is part of every form, so a group of rows that meet
 holds the spellings of a few namesakes, however large the cluster is; rows are only joined to names at the end.
 """
@@ -60,6 +64,7 @@ BODY_WORDS = frozenset(
 LONGEST = 60
 _STOP = frozenset("of for and the de du la und y et".split())
 _ACRONYM = re.compile(r"(?:[A-Z]{2,7}|(?:[A-Z]\.){2,7})")
+_PLAIN = re.compile(r"[^\W\d_][^\W\d_'’-]+(?:['’-][^\W\d_]+)*")
 _GIVEN: dict[str, frozenset[str]] = {}
 for _full, _shorts in NICKNAMES.items():
     for _n in (_full, *_shorts.split()):
@@ -73,6 +78,7 @@ class Name(NamedTuple):
     initial: str
     body: tuple[str, ...]
     titled: bool
+    loose: bool = False  # read as a person for its shape alone
 
     @property
     def full(self) -> bool:
@@ -176,10 +182,29 @@ def parse(name: str) -> Name:
         return Name("person", own, frozenset(), first, (), titled)
     known = given_names(first)
     if not known and not titled and len(comma) != 2:
-        return Name("other", "", frozenset(), "", (), False)
+        if len(bare) != 2 or exact or not all(_PLAIN.fullmatch(w) for w in bare):
+            return Name("other", "", frozenset(), "", (), False)
+        return Name("person", own, frozenset([first]), "", (), False, True)
     return Name("person", own, known or frozenset([first]), "", (), titled)
 
 
+@lru_cache(maxsize=200_000)
+def same_words(name: str) -> tuple[str, ...]:
+    """The folded words of a name in alphabetic order, without titles, function words and punctuation, abbreviations
+    written out. A name of nothing else is its own word; empty for a blank name only."""
+    plain = name.strip()
+    if _ACRONYM.fullmatch(plain):
+        return (plain.replace(".", "").lower(),)
+    s = fold(plain).replace("&", " and ")
+    if " " not in s and s.count("-") >= 2:
+        s = s.replace("-", " ")
+    words = [w for x in re.split(r"[\s,]+", s) if (w := x.strip(".()\"“”'‘’;:"))]
+    while len(words) > 1 and words[0] in TITLES:
+        words = words[1:]
+    words = [w for w in words if w not in ("the", "of", "for", "and")] or words
+    return tuple(sorted(SHORT_FORMS.get(w, w) if len(words) > 1 else w for w in words)) or ((plain,) if plain else ())
+
+
 def acronyms(n: Name, name: str) -> list[str]:
     """The letters that a body's name shortens to."""
     explicit = re.findall(r"\(([A-Z]{2,7})\)", name)
@@ -189,15 +214,21 @@ def acronyms(n: Name, name: str) -> list[str]:
 def forms(name: str) -> list[str]:
     """The canonical rewritings under which a name meets its variants."""
     n = parse(name)
+    words = same_words(name)
+    if not words:
+        return []
+    # what the lists read meets under its own forms; the rest, and what may be the same words as the rest, under all words
+    whole = ["w:" + " ".join(words)]
     if n.kind == "acronym":
-        return ["a:" + n.own]
+        return ["a:" + n.own, *whole]
     if n.kind == "other" or not n.own:
-        return []
+        return whole
     fewer = dict.fromkeys([n.own, *(n.own[:i] + n.own[i + 1 :] for i in range(len(n.own)))] if 4 < len(n.own) <= LONGEST else [n.own])
     # two misspellings of one name may share no such form; they share its beginning or its end
     ends = (n.own[:4] + "-", "-" + n.own[-7:]) if n.full and 8 <= len(n.own) <= LONGEST else ()
     if n.kind == "person":
-        return ["p:" + x for x in fewer] + [f"g:{g}:{e}" for g in sorted(n.given) for e in ends]
+        listed = len(words) == 2 and not n.loose and (n.initial or any(w in n.given or w in _GIVEN for w in words) and n.given <= NICKNAMES.keys())
+        return ["p:" + x for x in fewer] + [f"g:{g}:{e}" for g in sorted(n.given) for e in ends] + ([] if listed else whole)
     body = "".join(sorted(w[:2] for w in n.body))
     return [f"o:{body}:{x}" for x in (*fewer, *ends)] + ["a:" + x for x in acronyms(n, name)]
 
@@ -212,6 +243,8 @@ def sense(name: str) -> str:
 
 def compatible(a: str, b: str) -> bool:
     """Whether two names may denote the same person or body."""
+    if same_words(a) and same_words(a) == same_words(b):
+        return True
     x, y = parse(a), parse(b)
     if "acronym" in (x.kind, y.kind):
         if x.kind == y.kind:
@@ -232,6 +265,8 @@ def compatible(a: str, b: str) -> bool:
     if x.initial or y.initial:
         other = (y if x.initial else x).given
         return not other or any(g[0] == (x.initial or y.initial) for g in other)
+    if x.loose or y.loose:  # one word is part of many pairs of words; a title makes it a family name
+        return y.titled if x.loose else x.titled
     return bool(x.given or y.given or x.titled or y.titled)
 
 
@@ -258,9 +293,9 @@ def name_forms(names: DataFrame) -> DataFrame:
 def name_links(names: DataFrame) -> DataFrame:
     """(cluster_id, name_a, name_b) of distinct names (cluster_id, name) that denote the same; name_a < name_b."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("int")
     def may(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([compatible(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+        return pd.Series([compatible(x, y) * (2 if same_words(x) == same_words(y) else 1) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     f = checkpointed(name_forms(names))  # read four times below
     left = f.select("cluster_id", "key", "short", F.col("name").alias("a"), F.col("full").alias("full_a"), F.col("sense").alias("sense_a"))
@@ -271,8 +306,8 @@ def name_links(names: DataFrame) -> DataFrame:
     turned = spelt.where("full_b").select("cluster_id", F.col("b").alias("a"), F.col("full_b").alias("full_a"), F.col("sense_b").alias("sense_a"), F.col("a").alias("b"), F.col("full_a").alias("full_b"), F.col("sense_a").alias("sense_b"))
     met = own.drop("key").unionByName(spelt).unionByName(turned).where("a <> b").distinct()
     # both directions are kept: each side's rewriting is judged by what else it may mean
-    pairs = checkpointed(met.where(may("a", "b")))  # the pairs of namesakes only, read by every rule below
-    strong = pairs.where("full_a and full_b").select("cluster_id", "a", "b")
+    pairs = checkpointed(met.withColumn("how", may("a", "b")).where("how > 0"))  # the pairs of namesakes only, read by every rule below
+    strong = pairs.where("full_a and full_b or how = 2").select("cluster_id", "a", "b")
     weak = pairs.where("not full_a or not full_b")
     meanings = weak.where("not full_a and sense_b <> ''").groupBy("cluster_id", "a").agg(F.collect_set("sense_b").alias("senses"))
     full = F.filter("senses", lambda s: ~s.endswith("*"))

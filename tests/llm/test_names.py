@@ -90,3 +90,20 @@ def test_two_misspellings_without_the_right_one(spark):
     """Bases that no row bears: the misspellings share the beginning or the end."""
     data = rows([["Dasekkrahaven Farmers Cooperative", "Daserahaven Farmers Cooperative"], ["Greg Pajuusogralt", "Gregory Pajusoralt"]])
     assert found(spark, data) == {(0, 1), (2, 3)}
+
+
+UNLISTED = [
+    ["Aisha Rahman", "AISHA RAHMAN", "Rahman, Aisha", "aisha  rahman", "Dr. Aisha Rahman", "A. Rahman", "Aisha Rahmann"], ["Mary Jane Watson", "WATSON, Mary Jane", "mary jane watson"], ["Jan van Dijk", "van Dijk, Jan", "JAN VAN DIJK"],
+    ["Acme Corp", "ACME Corp.", "Acme Corporation"], ["Bank of Sorvia", "The Bank of Sorvia", "BANK OF SORVIA"], ["Reuters", "REUTERS", "reuters "], ["Apollo 11", "APOLLO 11"], ["Apollo 12"], ["Aisha Kolv"], ["Frozen Plaza"], ["Plaza"],
+]
+
+
+def test_names_outside_the_lists(spark):
+    assert found(spark, rows(UNLISTED)) == expected(UNLISTED)
+    assert all(n.forms(name) for g in UNLISTED for name in g)
+    assert n.forms(",") and n.forms("…") and not n.forms("  ")
+
+
+def test_case_of_an_ambiguous_family_name(spark):
+    data = rows([["Robert Kolvandik", "Richard Kolvandik", "Kolvandik", "KOLVANDIK"]])
+    assert found(spark, data) == {(2, 3)}
