@@ -49,32 +49,49 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(clean(text).lower())
 
 
-def shared_openings(items: list[tuple[int, str, list[str]]], least: int = 3) -> dict[int, int]:
-    """item -> words of its opening that at least ``least`` items of its suite have in common: the instruction line."""
-    seen: Counter = Counter()
-    for _, suite, words in items:
-        for k in range(1, min(len(words), 60) + 1):
-            seen[(suite, tuple(words[:k]))] += 1
+def shared_openings(items: list[tuple], least: int = 3) -> dict[int, int]:
+    """item -> words of its opening that are the instruction line of its suite, 0 if there is none.
+
+    An opening is one if at least ``least`` and half of the distinct texts of the suite share it, or if it is the first
+    line of at least ``least`` of them (items may give the words of their first line as a fourth element). One that takes
+    up more than half of most of the texts that share it is a common passage, and is none."""
+    texts = {(suite, tuple(words)): line[0] if line else 0 for _, suite, words, *line in items}
+    size = Counter(suite for suite, _ in texts)
+    nodes: dict[tuple, int] = {}  # the openings as a trie
+    shared: Counter = Counter()
+    roomy: Counter = Counter()
+    lines: Counter = Counter()
+    paths = {}
+    for (suite, words), line in texts.items():
+        node, path = nodes.setdefault((suite,), len(nodes)), []
+        for k, w in enumerate(words, 1):
+            node = nodes.setdefault((node, w), len(nodes))
+            path.append(node)
+            shared[node] += 1
+            roomy[node] += 2 * k <= len(words)
+            lines[node] += k == line
+        paths[suite, words] = path
     out = {}
-    for item, suite, words in items:
-        k = 0
-        while k < min(len(words), 60) and seen[(suite, tuple(words[: k + 1]))] >= least:
-            k += 1
-        out[item] = k
+    for item, suite, words, *_ in items:
+        path = paths[suite, tuple(words)]
+        common = max((k for k, v in enumerate(path, 1) if shared[v] >= max(least, size[suite] / 2)), default=0)
+        line = max((k for k, v in enumerate(path, 1) if lines[v] >= least and 2 * roomy[v] >= shared[v]), default=0)
+        own = max(line, common if common and 2 * roomy[path[common - 1]] >= shared[path[common - 1]] else 0)
+        out[item] = min(own, out.get(item, own))
     return out
 
 
 class ItemIndex:
     """The hash set of the items' n-grams, with the places where each occurs."""
 
-    def __init__(self, items: list[tuple[int, str, list[str]]], gram: int = GRAM):
+    def __init__(self, items: list[tuple], gram: int = GRAM):
         self.gram = gram
         skip = shared_openings(items)
-        self.ids = [item for item, _, _ in items]
+        self.ids = [item for item, *_ in items]
         self.vocab: dict[str, int] = {}
         self.words, self.skip = [], []
         places: dict[int, list[tuple[int, int]]] = {}
-        for n, (item, _, words) in enumerate(items):
+        for n, (item, _, words, *_) in enumerate(items):
             own = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype="int64")
             self.words.append(own)
             self.skip.append(skip[item])
@@ -190,11 +207,12 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str, list[str]]]]:
-    """The items, suite by suite, in blocks that fit a task. Null and empty texts have no passages."""
-    block: list[tuple[int, str, list[str]]] = []
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str, list[str], int]]]:
+    """The items (id, suite, words, words of the first line if more follow), suite by suite, in blocks that fit a task.
+    A row delivered twice counts once. Null and empty texts have no passages."""
+    block: list[tuple[int, str, list[str], int]] = []
     size = 0
-    rows = items.where("text is not null and item_id is not null").select("item_id", "suite", "text").orderBy("suite", "item_id")
+    rows = items.where("text is not null and item_id is not null").select("item_id", "suite", "text").distinct().orderBy("suite", "item_id", "text")
     for row in rows.toLocalIterator():
         words = tokens(row.text)
         if len(words) < GRAM:
@@ -202,7 +220,8 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
         if size + len(words) > block_words and block:
             yield block
             block, size = [], 0
-        block.append((row.item_id, row.suite or "", words))
+        head, _, rest = row.text.lstrip().partition("\n")
+        block.append((row.item_id, row.suite or "", words, len(tokens(head)) if rest.strip() else 0))
         size += len(words)
     if block:
         yield block

@@ -76,3 +76,23 @@ def test_seeds_are_all_hits():
     at, item, pos = index.lookup(ids)
     want = {(x, i, y) for i, (_, _, own) in enumerate(items) for x in range(len(words) - k.GRAM + 1) for y in range(len(own) - k.GRAM + 1) if words[x : x + k.GRAM] == own[y : y + k.GRAM]}
     assert set(zip(at.tolist(), item.tolist(), pos.tolist(), strict=True)) == want
+
+
+def test_repeated_items_and_shared_passages(spark):
+    """An item delivered or listed three times, and three questions over one passage, keep their openings."""
+    rng = random.Random(7)
+    once, passage = text(50, rng), text(45, rng)
+    rows = [(1, "qa", " ".join(once), None)] * 3 + [(k, "qa", " ".join(once), None) for k in (2, 3)]
+    rows += [(k, "qa", " ".join(passage) + "\n" + " ".join(text(8, rng)), None) for k in (4, 5, 6)] + [(k, "qa", " ".join(text(60, rng)), None) for k in range(7, 16)]
+    e = spark.createDataFrame(rows, "item_id bigint, suite string, text string, answer string")
+    d = spark.createDataFrame([(1, " ".join(text(30, rng) + once + text(30, rng))), (2, " ".join(text(30, rng) + passage + text(30, rng)))], "doc_id bigint, text string")
+    assert {(r.item_id, r.doc_id) for r in k.leaked_items(d, e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2)}
+
+
+def test_instruction_lines():
+    rng = random.Random(8)
+    first, second = OPENING.lower().split(), "now fill in the word that is missing".split()
+    items = [(i, "a", first + text(40, rng), 0) for i in range(6)] + [(9, "a", text(40, rng), 0)]
+    items += [(20 + i, "b", second + text(40, rng), len(second)) for i in range(3)] + [(30 + i, "b", text(40, rng), 0) for i in range(9)]
+    want = {i: len(first) for i in range(6)} | {20 + i: len(second) for i in range(3)}
+    assert k.shared_openings(items) == {i: want.get(i, 0) for i, *_ in items}
