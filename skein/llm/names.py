@@ -2,9 +2,9 @@
 
 Method: every name is rewritten to its canonical forms by rules (nickname to given name, initial, titles and middle
 names dropped, token order, legal forms and abbreviations, acronym, one letter left out of the distinctive token, so
-that typing errors meet); the forms are exploded and equi-joined within the cluster; pairs that meet are scored by how
-rare the rewriting is there: a full name speaks for itself, while an initial, a bare family name or an acronym is
-linked only where it can mean one person or body of that cluster. Links pass over one full name in between, which
+that typing errors meet); the forms are exploded and equi-joined within the cluster. Pairs that meet get no score of how
+rare the rewriting is; uniqueness replaces it: a full name speaks for itself, while an initial, a bare family name or an
+acronym is linked only where it can mean one person or body of that cluster. Links pass over one full name in between, which
 joins two different misspellings of it.
 
 The lists only add forms: a name outside them (unlisted given names, three words and more, short names of bodies, single
