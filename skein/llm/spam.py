@@ -1,18 +1,17 @@
 """Keyword-stuffed, link-list, menu and tag pages.
 
 Method: bagged decision trees are trained on content and link features from weak labels; page predictions are then
-smoothed by the spam rate of the page's host (``source``). The labels come from signals that are no features: the share
-of function words and how far the page compresses. Features of all pages are computed once and written to the
+smoothed by the spam rate of the page's host (``source``). The labels come from signals that are no features and may
+abstain: the share of function words, that of the page in pieces that read as sentences, that of its first keyword. Features of all pages are computed once and written to the
 checkpoint folder; trees are fitted on a bounded sample of weakly labelled pages (``SAMPLE_ROWS``), everything else
-(features, host rates, predictions) covers every page. Of the pages that the smoothed model suspects, those are kept of
-which more than half of the characters are counted as junk. Pages whose junk the count misses are admitted by the
-smoothed score (``ADMIT``) where less than half of the characters stand in pieces that read as sentences.
+(features, host rates, predictions) covers every page. The smoothed vote decides: a page must have more than half of it.
+An exact count then confirms that the junk makes up more than half of the page: more than half of the characters are
+counted as links, menus, tags, products or keywords, or less than half stand in pieces that read as sentences.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,11 +26,13 @@ from skein.session import checkpointed
 SAMPLE_ROWS = 8_000
 #: What is counted of a page; the trees see all but the sums, by which pages are confirmed.
 COUNTED = ["link", "menu", "tag", "product", "stuffed", "junk", "density", "distinct", "prose", "links_per_word", "ended", "line_words"]
-FEATURES = [c for c in COUNTED if c not in ("junk", "prose")]
-#: What pages are labelled by (function, novel) and what admits those that the count misses (said).
-SIGNALS = ["function", "novel", "said"]
-#: Smoothed score from which a page is admitted without a count of junk over one half.
-ADMIT = 0.5
+FEATURES = [c for c in COUNTED if c not in ("junk", "prose", "density")]
+#: What pages are labelled by, with the density (words tells whether there is anything to label).
+SIGNALS = ["function", "said", "words"]
+#: Smoothed vote that a junk page must exceed.
+DECIDE = 0.5
+#: Share of function words from which a piece is ordinary language, however often its pattern returns.
+ORDINARY = 0.4
 
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>", re.S | re.I)
 _URL = re.compile(r"(?:https?://|www\.)\S+")
@@ -127,47 +128,55 @@ def page_features(text: str) -> list[float]:
 
 
 def page_signals(text: str) -> list[float]:
-    """Of one page: the share of function words, the size of its distinct pieces when compressed, and the share of its
-    characters in pieces that read as sentences, with or without their full stop. Encoded blocks count as nothing."""
+    """Of one page: the share of function words, the share of its characters in pieces that read as sentences, with or
+    without their full stop, and the number of its words. Encoded blocks count as nothing."""
     body = _ENCODED.sub(" ", text) if max(map(len, text.split()), default=0) >= 50 else text
-    pieces = [s for line in body.split("\n") for s in _SENTENCE.split(line.strip()) if s]
     n_words = n_function = said = total = 0
-    for s in pieces:
-        words = s.lower().split()
-        k = sum(map(_FUNCTION.__contains__, words))
-        n_words, n_function, total = n_words + len(words), n_function + k, total + len(s)
-        if len(words) >= 5 and k >= 0.12 * len(words):
-            said += len(s)
-    once = "\n".join(dict.fromkeys(pieces)).encode("utf-8", "replace")
-    return [n_function / max(1, n_words), len(zlib.compress(once, 1)) / len(once) if once.strip() else 0.0, said / max(1, total)]
+    for line in body.split("\n"):
+        for s in _SENTENCE.split(line.strip()):
+            words = s.lower().split()
+            k = sum(map(_FUNCTION.__contains__, words))
+            n_words, n_function, total = n_words + len(words), n_function + k, total + len(s)
+            if len(words) >= 5 and k >= 0.12 * len(words):
+                said += len(s)
+    return [n_function / max(1, n_words), said / max(1, total), float(n_words)]
 
 
 def _stuffed(prose: list[str]) -> int:
     """Characters of the sentences and short lines that exist for a keyword, and of word heaps without function words.
 
-    Sentences repeated as a whole (refrains) count once as evidence, so a refrain makes no keyword. Bulleted lines are a
-    list of an article unless nearly all of them hold a keyword."""
+    Pieces repeated as a whole count once as evidence, and pieces with as many function words as ordinary language has
+    are none, so refrains make no keyword, even where their nouns change. Nor does a name: a keyword is written in lower
+    case half of the time. Bulleted lines are a list of an article unless nearly all of them hold a keyword."""
     pieces = [s for line in prose for s in (_SENTENCE.split(line) if len(line) > 60 else (line,))]
-    bags = {}
+    bags: dict[str, list[str]] = {}
+    plain: set[str] = set()
+    upper: Counter = Counter()
+    lower: Counter = Counter()
     for s in pieces:
         if s not in bags:
             bags[s] = [w for w in _WORD.findall(s.lower()) if w not in _COMMON]
+            words = s.lower().split()
+            if sum(map(_FUNCTION.__contains__, words)) >= ORDINARY * len(words):
+                plain.add(s)
+            for w in _WORD.findall(s):
+                (lower if w[0].islower() else upper)[w.lower()] += 1
     twice: Counter = Counter()
     short: Counter = Counter()
     heavy, shorts = set(), []
     for s, bag in bags.items():
         own = set(bag)
         top = 1
-        if len(own) < len(bag):  # most sentences repeat no word
+        if len(own) < len(bag) and s not in plain:  # most sentences repeat no word
             again = Counter(bag)
             twice.update(w for w, n in again.items() if n >= 2)
-            top = max(again.values())
+            top = max((n for w, n in again.items() if lower[w] >= upper[w]), default=1)
         if len(bag) <= 5 and bag and s[-1] not in ".!?":
             shorts.append((s, bag))
             short.update(own)
         if len(bag) >= 8 and (top >= 4 and top >= 0.15 * len(bag) or _heap(s)):
             heavy.add(s)
-    keys = {w for w, n in twice.items() if n >= 3}
+    keys = {w for w, n in twice.items() if n >= 3 and lower[w] >= upper[w]}
     lines: set[str] = set()
     if len(shorts) >= 6:
         often = {w for w, n in short.items() if n >= 3 and n * 10 >= len(shorts)}
@@ -178,7 +187,7 @@ def _stuffed(prose: list[str]) -> int:
     size = 0
     for s in pieces:
         bag = bags[s]
-        if s in heavy or s in lines or (keys and any(bag.count(w) >= 2 or (w in bag and len(bag) <= 6) for w in keys)):
+        if s in heavy or s in lines or (keys and s not in plain and any(bag.count(w) >= 2 or (w in bag and len(bag) <= 6) for w in keys)):
             size += len(s) + 1
     return size
 
@@ -260,9 +269,13 @@ def featurise(documents: DataFrame) -> DataFrame:
 
 
 def weak_label() -> Column:
-    """1 for pages almost without function words or that say the same again and again, 0 for plain prose, null
-    (abstained) between and for empty pages. Neither signal is a feature."""
-    return F.when(F.col("novel") == 0, None).when((F.col("function") < 0.18) | (F.col("novel") < 0.3), 1).when((F.col("function") >= 0.22) & (F.col("novel") >= 0.45), 0)
+    """1 for pages with few function words, few sentences or a keyword in every seventh word, 0 for plain prose, null
+    (abstained) between and for empty pages. No signal is a feature."""
+    few = (F.col("function") < 0.18) & (F.col("said") < 0.75)
+    broken = (F.col("said") < 0.4) & (F.col("function") < 0.27)
+    keyword = (F.col("density") >= 0.15) & (F.col("function") < 0.35)
+    prose = (F.col("function") >= 0.3) & (F.col("said") >= 0.7) & (F.col("density") < 0.08)
+    return F.when(F.col("words") == 0, None).when(few | broken | keyword, 1).when(prose, 0)
 
 
 def train(features: DataFrame, rows: int = SAMPLE_ROWS) -> BaggedTrees | None:
@@ -274,7 +287,9 @@ def train(features: DataFrame, rows: int = SAMPLE_ROWS) -> BaggedTrees | None:
         return None
     share = {k: min(1.0, rows / 2 / n) for k, n in size.items()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    sample = labelled.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select(*FEATURES, "label").limit(2 * rows).toPandas()
+    drawn = labelled.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    # in an order of its own, so that the bootstrap draws alike however the rows are partitioned
+    sample = drawn.select("doc_id", *FEATURES, "label").orderBy("doc_id", *FEATURES).limit(2 * rows).toPandas()
     return BaggedTrees().fit(sample[FEATURES].to_numpy("float64"), sample["label"].to_numpy("float64")) if sample["label"].nunique() == 2 else None
 
 
@@ -291,7 +306,7 @@ def score_pages(documents: DataFrame, host_weight: float = 0.3, host_prior: floa
     def vote(*cols: pd.Series) -> pd.Series:
         return pd.Series(model.predict(np.column_stack([c.to_numpy("float64") for c in cols])))  # type: ignore[union-attr]
 
-    pages = features.select("doc_id", "source", "junk", "said", (F.col("novel") > 0).alias("worded"), (vote(*FEATURES) if model else F.col("junk")).alias("p_page"))
+    pages = features.select("doc_id", "source", "junk", "said", (F.col("words") > 0).alias("worded"), (vote(*FEATURES) if model else F.col("junk")).alias("p_page"))
     pages = pages.withColumn("host", F.coalesce("source", F.lit("")))
     rates = pages.groupBy("host").agg(F.sum("p_page").alias("s"), F.count("*").alias("n"))
     mean = rates.agg((F.sum("s") / F.sum("n")).alias("mean")).scalar()
@@ -307,16 +322,16 @@ def score_pages(documents: DataFrame, host_weight: float = 0.3, host_prior: floa
     return pages.join(rates, "host").select("doc_id", "source", "junk", "said", "worded", "p_page", (1 / (1 + F.exp(-z))).alias("p"))
 
 
-def is_spam(suspect: float = 0.2) -> Column:
-    """Suspected by the smoothed model and, on count, more than half junk; or admitted by it and less than half sentences.
-    A page of nothing but encoded blocks has no words that could be sentences, and is not admitted."""
-    counted = (F.col("p") > suspect) & (F.col("junk") > 0.5)
-    return counted | ((F.col("p") > ADMIT) & (F.col("said") < 0.5) & F.col("worded"))
+def is_spam(decide: float = DECIDE) -> Column:
+    """The smoothed vote is over ``decide`` and the junk is more than half of the page: by the count, or because less than
+    half of the page reads as sentences. A page of nothing but encoded blocks has no words that could be sentences, and is
+    none."""
+    return (F.col("p") > decide) & ((F.col("junk") > 0.5) | ((F.col("said") < 0.5) & F.col("worded")))
 
 
-def spam_pages(documents: DataFrame, suspect: float = 0.2) -> DataFrame:
+def spam_pages(documents: DataFrame, decide: float = DECIDE) -> DataFrame:
     """(doc_id) of junk pages."""
-    return score_pages(documents).where(is_spam(suspect)).select("doc_id").distinct()
+    return score_pages(documents).where(is_spam(decide)).select("doc_id").distinct()
 
 
 def host_report(documents: DataFrame) -> DataFrame:

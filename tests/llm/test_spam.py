@@ -13,11 +13,13 @@ JUNK = {
     "links": "\n".join(f"- Item {k} https://a{k}.example/p?id={k}" for k in range(20)), "anchors": "".join(f'<a href="https://x.test/{k}">page {k}</a>' for k in range(20)),
     "menu": "Home > Login > Cart mill > Terms > Print > Share\n" + "\n".join(f"Cabinet ({k})" for k in range(20)), "tags": " ".join(f"#tag{k}" for k in range(40)), "slashes": " / ".join(f"word{chr(97 + k)} mill" for k in range(20)),
     "semicolons": "Filed under: " + "; ".join(f"old word{chr(97 + k)}" for k in range(20)), "products": "\n".join(f"Red mug A{k} | 12 cm | EUR {k}.50 | new" for k in range(20)), "lines": "\n".join(f"{w} repair Town{chr(97 + k)}" for k, w in enumerate(["helmet", "lamp", "boots"] * 9)),
-    "sentences": " ".join(f"The scooter that the {w} left is a red scooter, and the owner of that scooter wants it back." for w in ["judge", "nurse", "pilot", "miner", "clerk", "guard"]),
+    "sentences": " ".join(f"Order {w} lamp lamp deals, lamp shop for lamp offers and the top lamp seller." for w in ["blue", "used", "small", "brass", "floor", "desk", "round", "glass"]),
     "heap": "buy boots cheap boots online lamp store lamp sale boots outlet lamp price boots review lamp best boots order lamp shipping boots new lamp",
 }
 FINE = {
     "article": ARTICLE, "with links": ARTICLE + "\nRelated links:\nhttps://a.example/1\nhttps://b.example/2", "with list": ARTICLE + "\n- Ann Kolv, pilot\n- 52 beams blocked\n- old mill at Tavo",
+    "nouns of a refrain": ARTICLE + "\n" + " ".join(f"The scooter that the {w} left is a red scooter, and the owner of that scooter wants it back." for w in ["judge", "nurse", "pilot", "miner", "clerk", "guard", "baker", "usher"]),
+    "names": " ".join(f"{a} by Tavo Bridge Board said that the {b} of Tavo would cost more than Tavo had paid for it." for a, b in zip(["A report", "A letter", "A note", "A book"], ["dam", "pier", "quay", "lock"])),
     "refrain": ARTICLE + "\n" + "And the river runs on to the sea tonight.\n" * 30, "encoded": ARTICLE + "\n" + "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 200, "underscores": ARTICLE + "\n" + "_" * 5000,
 }
 
@@ -72,7 +74,9 @@ def test_admits_what_the_count_misses(spark):
 
 def test_host_can_decide(spark):
     """No vote is so sure that the rate of its host can't bring it over the bound of suspicion."""
-    prose = [ARTICLE + f"\nIt was said on day {k} that the ferry of the town would be late for the market." for k in range(60)]
-    rows = [(k, "clean", t) for k, t in enumerate(prose)] + [(100 + k, "bad", JUNK["links"]) for k in range(200)] + [(400, "bad", prose[0])]
-    p = {r.doc_id: r.p for r in spam.score_pages(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), 1.0).collect()}
-    assert p[400] > 0.2 > p[0]
+    prose = [ARTICLE + f"\nIt was said on day {k} that the ferry of the town would be late for the market." for k in range(600)]
+    rows = [(1000 + k, "clean", t) for k, t in enumerate(prose)] + [(100 + k, "bad", JUNK["links"]) for k in range(200)] + [(400, "bad", prose[0])]
+    pages = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    p = {r.doc_id: r.p for r in spam.score_pages(pages, 1.0).collect()}
+    assert p[400] > spam.DECIDE > p[1000]
+    assert 400 not in {r.doc_id for r in spam.spam_pages(pages).collect()}  # the count does not confirm it
