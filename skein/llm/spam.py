@@ -57,11 +57,14 @@ _ENDS = ".!?…\"'”’)"
 
 def _items(line: str) -> tuple[float, int]:
     """(words per item, items) under the separator that cuts the line into most items."""
-    best = max((line.count(s), s) for s in _SEPARATORS)
-    if not best[0]:
+    n, cut = 0, ""
+    for separator in _SEPARATORS:
+        if (k := line.count(separator)) and k >= n:
+            n, cut = k, separator
+    if n < 5:
         return 99.0, 1
-    parts = [p for p in line.split(best[1]) if p.strip()]
-    return (len(line.split()) - (best[1].strip() not in ("", ",", ";", "#")) * (len(parts) - 1)) / max(1, len(parts)), len(parts)
+    parts = sum(1 for p in line.split(cut) if p.strip())
+    return (len(line.split()) - (cut.strip() not in ("", ",", ";", "#")) * (parts - 1)) / max(1, parts), parts
 
 
 def page_features(text: str) -> list[float]:
@@ -111,17 +114,15 @@ def page_features(text: str) -> list[float]:
                 part["tag"] += len(line)
                 continue
         prose.append(line)
-    if max(map(len, body.split()), default=0) >= 50:  # encoded blocks and rules are no words
+    if _ENCODED.search(body):  # encoded blocks and rules are no words
         prose = [line for raw in prose if (line := _ENCODED.sub(" ", raw).strip())]
-    words = [w for line in prose for w in _WORD.findall(line.lower())]
+    words = _WORD.findall("\n".join(prose).lower())
     counts = Counter(words)
     density = 0.0
-    for word, n in counts.most_common(12):
-        if word not in _COMMON:
-            density = n / len(words)
-            if n >= 4 or len(prose) > 8 or sum(k for w, k in counts.items() if w in _COMMON) < 0.1 * len(words):
-                part["stuffed"] = _stuffed(prose)
-            break
+    if n := max((k for w, k in counts.items() if w not in _COMMON), default=0):
+        density = n / len(words)
+        if n >= 4 or len(prose) > 8 or sum(k for w, k in counts.items() if w in _COMMON) < 0.1 * len(words):
+            part["stuffed"] = _stuffed(prose)
     junk = sum(part.values())
     return [part["link"] / total, part["menu"] / total, part["tag"] / total, part["product"] / total, part["stuffed"] / total, min(1.0, junk / total),
             density, len(counts) / max(1, len(words)), max(0.0, 1 - junk / total), n_links / max(1, len(words)), ended / total, line_words]
@@ -130,7 +131,7 @@ def page_features(text: str) -> list[float]:
 def page_signals(text: str) -> list[float]:
     """Of one page: the share of function words, the share of its characters in pieces that read as sentences, with or
     without their full stop, and the number of its words. Encoded blocks count as nothing."""
-    body = _ENCODED.sub(" ", text) if max(map(len, text.split()), default=0) >= 50 else text
+    body = _ENCODED.sub(" ", text)
     n_words = n_function = said = total = 0
     for line in body.split("\n"):
         for s in _SENTENCE.split(line.strip()):
@@ -149,34 +150,30 @@ def _stuffed(prose: list[str]) -> int:
     are none, so refrains make no keyword, even where their nouns change. Nor does a name: a keyword is written in lower
     case half of the time. Bulleted lines are a list of an article unless nearly all of them hold a keyword."""
     pieces = [s for line in prose for s in (_SENTENCE.split(line) if len(line) > 60 else (line,))]
-    bags: dict[str, list[str]] = {}
-    plain: set[str] = set()
-    upper: Counter = Counter()
-    lower: Counter = Counter()
+    bags = {}
     for s in pieces:
         if s not in bags:
             bags[s] = [w for w in _WORD.findall(s.lower()) if w not in _COMMON]
-            words = s.lower().split()
-            if sum(map(_FUNCTION.__contains__, words)) >= ORDINARY * len(words):
-                plain.add(s)
-            for w in _WORD.findall(s):
-                (lower if w[0].islower() else upper)[w.lower()] += 1
     twice: Counter = Counter()
     short: Counter = Counter()
-    heavy, shorts = set(), []
+    heavy, shorts, often_in_one = set(), [], []
     for s, bag in bags.items():
         own = set(bag)
-        top = 1
-        if len(own) < len(bag) and s not in plain:  # most sentences repeat no word
+        if len(own) < len(bag) and not _ordinary(s):  # most sentences repeat no word
             again = Counter(bag)
             twice.update(w for w, n in again.items() if n >= 2)
-            top = max((n for w, n in again.items() if lower[w] >= upper[w]), default=1)
+            often_in_one += [(s, w) for w, n in again.items() if n >= 4 and len(bag) >= 8 and n >= 0.15 * len(bag)]
         if len(bag) <= 5 and bag and s[-1] not in ".!?":
             shorts.append((s, bag))
             short.update(own)
-        if len(bag) >= 8 and (top >= 4 and top >= 0.15 * len(bag) or _heap(s)):
+        if len(bag) >= 8 and _heap(s):
             heavy.add(s)
-    keys = {w for w, n in twice.items() if n >= 3 and lower[w] >= upper[w]}
+    keys = {w for w, n in twice.items() if n >= 3}
+    if keys or often_in_one:
+        written = Counter(w for s in bags for w in _WORD.findall(s))
+        name = {w for w in {*keys, *(w for _, w in often_in_one)} if written[w] < written[w.capitalize()]}
+        keys -= name
+        heavy.update(s for s, w in often_in_one if w not in name)
     lines: set[str] = set()
     if len(shorts) >= 6:
         often = {w for w, n in short.items() if n >= 3 and n * 10 >= len(shorts)}
@@ -187,11 +184,16 @@ def _stuffed(prose: list[str]) -> int:
     size = 0
     for s in pieces:
         bag = bags[s]
-        if s in heavy or s in lines or (keys and s not in plain and any(bag.count(w) >= 2 or (w in bag and len(bag) <= 6) for w in keys)):
+        if s in heavy or s in lines or (keys and not keys.isdisjoint(bag) and not _ordinary(s) and any(bag.count(w) >= 2 or (w in bag and len(bag) <= 6) for w in keys)):
             size += len(s) + 1
     return size
 
 
+def _ordinary(piece: str) -> bool:
+    words = piece.lower().split()
+    return sum(map(_FUNCTION.__contains__, words)) >= ORDINARY * len(words)
+
+
 def _heap(piece: str) -> bool:
     """Whether at least ten words follow one another almost without a function word."""
     words = piece.lower().split()
