@@ -2,19 +2,22 @@
 
 The nested column's list offsets give every child its parent: ``list_parent_indices`` names the parent row of each
 element, ``list_flatten`` lays the elements out, and the keys of the parents are propagated by one vectorised take.
-No child row is visited in Python. JSON text is decoded once per document into the declared nested Arrow type, where
-shapes differ (one object in place of a list, a list kept as JSON text, code fences, broken text).
+JSON text is decoded inside the JVM to a variant and cast to the declared nested type, whatever its shape (one object in
+place of a list, a list kept as JSON text, code fences); the nested columns go to Arrow as they are, so no child row is
+visited in Python. Only texts that the JVM's parser refuses (repeated keys, prose with braces, broken text) are decoded in
+Python, one document at a time.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EVIDENCE = pa.list_(pa.struct([("document_index", pa.int64()), ("quote", pa.string()), ("section", pa.string())]))
@@ -47,17 +50,17 @@ _decoder = json.JSONDecoder()
 def decode_object(text: str | None) -> dict | None:
     """The first complete JSON object of a text, whatever stands around it; None if there is none.
 
-    The object must be the outermost one: of a text cut off inside its object nothing counts."""
-    if not text:
-        return None
-    at = text.find("{")
-    if at < 0:
-        return None
-    try:
-        value, _ = _decoder.raw_decode(text, at)
-    except (ValueError, RecursionError):
-        return None
-    return value
+    A brace that opens no object is passed over up to where reading failed, so of a text cut off inside its object
+    nothing counts."""
+    at = (text or "").find("{")
+    while at >= 0:
+        try:
+            return _decoder.raw_decode(text, at)[0]
+        except json.JSONDecodeError as e:
+            at = text.find("{", max(at + 1, e.pos))
+        except (ValueError, RecursionError):
+            return None
+    return None
 
 
 def _as_list(value: object) -> list | None:
@@ -92,10 +95,13 @@ def _fit(value: object, kind: pa.DataType) -> object:
             return None if items is None else [_fit(x, kind.value_type) for x in items]
         return [_fit(x, kind.value_type) for x in value] if isinstance(value, list) else None
     if pa.types.is_string(kind):
+        if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
+            value = int(value)  # written without its zeros, as the JVM does
         return value if isinstance(value, str) or value is None else json.dumps(value)
     return _number(value, pa.types.is_integer(kind))
 
 
+
 _surrogate = re.compile("[\ud800-\udfff]")
 
 
@@ -110,6 +116,59 @@ def graphs_to_arrow(texts: list[str | None]) -> pa.StructArray:
     return pa.array(rows, type=GRAPH_TYPE)
 
 
+# ---- JSON text to nested columns ----------------------------------------------------------------------------------
+
+#: How an element of each list is read from a variant: texts, and what is fitted afterwards.
+_ELEMENTS = {
+    "entities": "struct<id:string,name:string,type:string,document_frequency:string,confidence:string,evidence:variant>",
+    "relations": "struct<source:string,target:string,relation_type:string,support_count:string,source_documents:variant,confidence:string,evidence:variant>",
+    "reasoning_paths": "struct<path:variant,description:string,confidence:string>",
+    "evidence": "struct<document_index:string,quote:string,section:string>",
+}
+
+
+def _listed(value: Column, element: str) -> Column:
+    """A variant as array<element>: a list, one object, or either kept as JSON text; null for anything else. Members that
+    are no objects are null."""
+
+    def lists(v: Column) -> list[Column]:
+        one = F.try_variant_get(v, "$", element)
+        return [F.try_variant_get(v, "$", f"array<{element}>"), F.when(one.isNotNull(), F.array(one))]
+
+    text = F.try_variant_get(value, "$", "string")
+    inner = F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text))
+    return F.coalesce(*lists(value), *lists(inner))
+
+
+def _fitted(column: str, links: bool) -> Callable[[Column], Column]:
+    """An element in its declared shape; with ``links`` only what the links need."""
+    return lambda e: F.when(e.isNotNull(), F.struct(*_fields(column, e, links)))
+
+
+def _fields(column: str, e: Column, links: bool) -> list[Column]:
+    whole = lambda x: F.when(F.abs(x.try_cast("double")) < 2.0**63, F.when(x.try_cast("double") == F.floor(x.try_cast("double")), x.try_cast("double").cast("bigint")))
+    span = (lambda x: F.struct(F.lit(True).alias("span"))) if links else (lambda x: F.struct(whole(x["document_index"]).alias("document_index"), x["quote"].alias("quote"), x["section"].alias("section")))
+    spans = lambda: F.transform(_listed(e["evidence"], _ELEMENTS["evidence"]), lambda x: F.when(x.isNotNull(), span(x))).alias("evidence")
+    number = lambda c: e[c].try_cast("double").alias(c)
+    if links:
+        return [F.lit(True).alias("is"), *([spans()] if column != "reasoning_paths" else [])]
+    if column == "entities":
+        return [e["id"].alias("id"), e["name"].alias("name"), e["type"].alias("type"), whole(e["document_frequency"]).alias("document_frequency"), number("confidence"), spans()]
+    if column == "relations":
+        documents = F.transform(F.try_variant_get(e["source_documents"], "$", "array<string>"), whole).alias("source_documents")
+        return [*[e[c].alias(c) for c in ("source", "target", "relation_type")], whole(e["support_count"]).alias("support_count"), documents, number("confidence"), spans()]
+    return [F.try_variant_get(e["path"], "$", "array<string>").alias("path"), e["description"].alias("description"), number("confidence")]
+
+
+def graph_columns(accumulated: DataFrame, columns: list[str], links: bool) -> DataFrame:
+    """(response_id, nested, rest): the lists of each graph text as nested columns, and the text where the JVM's parser
+    finds no object though a brace is there."""
+    text = F.col("knowledge_graph")
+    rows = accumulated.where(F.contains(text, F.lit("{"))).select("response_id", text, F.try_parse_json(F.expr("substring(knowledge_graph, instr(knowledge_graph, '{'))")).alias("v"))
+    lists = [F.transform(_listed(F.try_variant_get("v", f"$.{c}", "variant"), _ELEMENTS[c]), _fitted(c, links)).alias(c) for c in columns]
+    return rows.select("response_id", F.when(F.col("v").isNotNull(), F.struct(*lists)).alias("nested"), F.when(F.col("v").isNull(), text).alias("rest"))
+
+
 # ---- flattening ---------------------------------------------------------------------------------------------------
 
 
@@ -122,7 +181,7 @@ def explode_list(lists: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
     flat, parents = pc.list_flatten(lists), pc.cast(pc.list_parent_indices(lists), pa.int64())
     lengths = pc.fill_null(pc.list_value_length(lists), 0)
     starts = pc.subtract(pc.cumulative_sum(pc.cast(lengths, pa.int64())), pc.cast(lengths, pa.int64()))
-    pos = pc.subtract(pa.array(range(len(flat)), pa.int64()), pc.take(starts, parents))
+    pos = pc.subtract(pa.array(np.arange(len(flat))), pc.take(starts, parents))
     keep = pc.is_valid(flat)
     return pc.filter(parents, keep), pc.filter(pos, keep), flat.filter(keep)
 
@@ -132,46 +191,47 @@ def flatten(keys: pa.Array, lists: pa.ListArray, inner: str | None) -> tuple[pa.
     parent, pos, items = explode_list(lists)
     key = pc.take(keys, parent)
     if inner is None:
-        return key, pa.array([-1] * len(pos), pa.int64()), pos, items
+        return key, pa.repeat(pa.scalar(-1, pa.int64()), len(pos)), pos, items
     up, inner_pos, inner_items = explode_list(_field(items, inner))
     return pc.take(key, up), pc.take(pos, up), inner_pos, inner_items
 
 
-#: Documents decoded at a time: bounds the Python objects that are alive besides the Arrow batch.
+#: Documents decoded in Python at a time: bounds the objects that are alive besides the Arrow batch.
 DECODE_ROWS = 200
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    for batch in batches:
-        if not (text := pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type)):
-            yield batch, text
-            continue
-        for at in range(0, batch.num_rows, DECODE_ROWS):
-            yield batch.slice(at, DECODE_ROWS), text
+def _nested(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.StructArray | pa.ListArray]]:
+    """(keys, nested column) of a batch, and of the texts in it that are left to decode."""
+    yield batch.column(0), batch.column(1)
+    if batch.num_columns > 2:
+        rest = batch.filter(pc.is_valid(batch.column(2)))
+        for at in range(0, rest.num_rows, DECODE_ROWS):
+            part = rest.slice(at, DECODE_ROWS)
+            yield part.column(0), graphs_to_arrow(part.column(2).to_pylist())
 
 
 def _children(batches: Iterator[pa.RecordBatch], tables: dict, kind: str | None) -> Iterator[pa.RecordBatch]:
-    for batch, text in _slices(batches):
-        column = batch.column(1)
-        source = graphs_to_arrow(column.to_pylist()) if text else None
-        for name, (outer, inner, spec) in tables.items():
-            if kind not in (None, name):
-                continue
-            key, parent_pos, pos, items = flatten(batch.column(0), column if source is None else _field(source, outer), inner)
-            links = [key, pc.cast(parent_pos, pa.int32()), pc.cast(pos, pa.int32())]
-            names = ["response_id", "parent_pos", "pos"]
-            if kind is None:
-                yield pa.RecordBatch.from_arrays([key, pa.array([name] * len(key), pa.string()), *links[1:]], names=["response_id", "kind", "parent_pos", "pos"])
-            else:
-                fields = [part.strip().split(" ")[0] for part in spec.split(", ")]
-                yield pa.RecordBatch.from_arrays([*links, *[_field(items, f) for f in fields]], names=[*names, *fields])
-
-
-def _source(accumulated: DataFrame, column: str) -> DataFrame:
-    """Key and one nested column; nested reports are cast to their declared shape, so that extra fields do no harm."""
-    if column == "knowledge_graph":
-        return accumulated.where("knowledge_graph is not null").select("response_id", "knowledge_graph")
-    return accumulated.where("grader_reports is not null").select("response_id", "grader_reports")
+    for batch in batches:
+        for keys, column in _nested(batch):
+            for name, (outer, inner, spec) in tables.items():
+                if kind not in (None, name):
+                    continue
+                key, parent_pos, pos, items = flatten(keys, _field(column, outer) if pa.types.is_struct(column.type) else column, inner)
+                links = [key, pc.cast(parent_pos, pa.int32()), pc.cast(pos, pa.int32())]
+                names = ["response_id", "parent_pos", "pos"]
+                if kind is None:
+                    yield pa.RecordBatch.from_arrays([key, pa.repeat(name, len(key)), *links[1:]], names=["response_id", "kind", "parent_pos", "pos"])
+                else:
+                    fields = [part.strip().split(" ")[0] for part in spec.split(", ")]
+                    yield pa.RecordBatch.from_arrays([*links, *[_field(items, f) for f in fields]], names=[*names, *fields])
+
+
+def _source(accumulated: DataFrame, tables: dict, kind: str | None) -> DataFrame:
+    """Key and nested column, of graphs with what is left to decode. Only the lists that are asked for are read."""
+    if tables is REPORT_TABLES:
+        return accumulated.where("grader_reports is not null").select("response_id", "grader_reports")
+    columns = sorted({outer for name, (outer, _, _) in tables.items() if kind in (None, name)})
+    return graph_columns(accumulated, columns, kind is None)
 
 
 def child_table(accumulated: DataFrame, kind: str) -> DataFrame:
@@ -180,18 +240,15 @@ def child_table(accumulated: DataFrame, kind: str) -> DataFrame:
     parent_pos is -1 for direct children of the response. A response delivered twice counts once: its copies are
     equal but for the arrival, so one row for each link is kept. Null elements keep their position but give no row;
     null, missing and empty lists give none; a null response_id is a key like any other."""
-    tables, column = (GRAPH_TABLES, "knowledge_graph") if kind in GRAPH_TABLES else (REPORT_TABLES, "grader_reports")
-    out = _source(accumulated, column).mapInArrow(lambda it: _children(it, tables, kind), f"{_KEYS}, {tables[kind][2]}")
+    tables = GRAPH_TABLES if kind in GRAPH_TABLES else REPORT_TABLES
+    out = _source(accumulated, tables, kind).mapInArrow(lambda it: _children(it, tables, kind), f"{_KEYS}, {tables[kind][2]}")
     return out.dropDuplicates(["response_id", "parent_pos", "pos"])
 
 
 def child_links(accumulated: DataFrame) -> DataFrame:
     """(response_id, kind, parent_pos, pos) of all children of all kinds: one pass over each nested column."""
     links = "response_id bigint, kind string, parent_pos int, pos int"
-    parts = [
-        _source(accumulated, column).mapInArrow(lambda it, tables=tables: _children(it, tables, None), links)
-        for column, tables in (("knowledge_graph", GRAPH_TABLES), ("grader_reports", REPORT_TABLES))
-    ]
+    parts = [_source(accumulated, tables, None).mapInArrow(lambda it, tables=tables: _children(it, tables, None), links) for tables in (GRAPH_TABLES, REPORT_TABLES)]
     return parts[0].unionByName(parts[1]).distinct()
 
 

@@ -7,7 +7,9 @@ anti-joined on its non-null columns, under declared match semantics:
 * ``partial`` - the non-null parts must match some parent; an all-null reference is not checked;
 * ``full``    - a reference with some but not all parts null is itself an orphan; all-null is not checked.
 
-Only masks that occur cost a join: they are found by one aggregation of at most 2**k rows.
+The groups are disjoint and every reference is in one of them. Each semantics decides a whole group at a time: by an
+anti-join on the mask's non-null columns, or, where the mask alone decides, without a join. Under ``partial`` only masks
+that occur cost a join: they are found by one aggregation of at most 2**k rows.
 """
 
 from __future__ import annotations
@@ -39,15 +41,15 @@ def find_orphans(
         on = reduce(lambda a, b: a & b, [df[f"`{c}`"] == right[f"__p_{keys[c]}"] for c in kept])
         return df.join(right, on if visible is None else on & visible, "left_anti")
 
-    if match == "full":  # a null equals nothing, so one anti-join keeps the partly null ones as orphans
-        return anti(refs.where(f"null_mask < {every}"), cols)
-    out = anti(refs.where("null_mask = 0"), cols)
+    whole = anti(refs.where("null_mask = 0"), cols)
     if match == "simple":
-        return out
+        return whole
     some = refs.where(f"null_mask > 0 and null_mask < {every}")
-    for m in sorted(r[0] for r in some.select("null_mask").distinct().collect()):
-        out = out.unionByName(anti(some.where(F.col("null_mask") == m), [c for i, c in enumerate(cols) if not m >> i & 1]))
-    return out
+    if match == "full":  # the mask alone makes these orphans
+        return whole.unionByName(some)
+    masks = sorted(r[0] for r in some.select("null_mask").distinct().collect())
+    groups = (anti(some.where(F.col("null_mask") == m), [c for i, c in enumerate(cols) if not m >> i & 1]) for m in masks)
+    return reduce(DataFrame.unionByName, groups, whole)
 
 
 def relation_orphans(relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -68,13 +70,25 @@ def relation_orphans(relations: DataFrame, entities: DataFrame) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(e).alias("endpoint"), F.col(e).alias("ref")) for e in ("source", "target")])).alias("x"),
     ).select("*", "x.endpoint", "x.ref").drop("x").where("ref <> ''")
     key = {"cluster_id": "cluster_id", "emission": "emission", "ref": "id"}
-    rows = entities.where("id <> ''").select("cluster_id", "emission", "id", "arrived_at", "deleted_at")
+    later = F.lit("9999-12-31 01:00:00").cast("timestamp")
+    rows = entities.where("id <> ''").select("cluster_id", "emission", "id", F.coalesce("arrived_at", later).alias("arrived_at"), "deleted_at")
     visible = (F.col("__p_arrived_at") <= F.col("t")) & (F.col("__p_deleted_at").isNull() | (F.col("__p_deleted_at") > F.col("t")))
     # under partial semantics a null cluster or emission would match any; here it matches none, as in ``full``
     orphans = find_orphans(refs, rows, key, "full", visible)
-    known = rows.groupBy("cluster_id", "emission", F.col("id").alias("ref")).agg(F.min("arrived_at").alias("seen"), F.lit(True).alias("known"))
-    reason = F.when(F.col("known").isNull(), "missing").when(F.col("seen") <= F.col("t"), "deleted").otherwise("late")
-    return orphans.join(known, ["cluster_id", "emission", "ref"], "left").select("relation_pk", "endpoint", reason.alias("reason"), "emitted_at")
+    # the few orphans are met with the same shuffled entities again
+    known = rows.select("cluster_id", "emission", F.col("id").alias("ref"), F.col("arrived_at").alias("seen"), "deleted_at")
+    met = orphans.join(known, ["cluster_id", "emission", "ref"], "left")
+    seen = met.groupBy("relation_pk", "endpoint", "emitted_at", "t").agg(F.min("seen").alias("seen"))
+    reason = F.when(F.col("seen").isNull(), "missing").when(F.col("seen") <= F.col("t"), "deleted").otherwise("late")
+    return seen.select("relation_pk", "endpoint", reason.alias("reason"), "emitted_at")
+
+
+def source_orphans(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(relation_pk, null_mask): relations whose source no entity of the extraction has, under ``partial`` semantics and
+    whatever the time: a relation with a null source (or cluster, or emission) is an orphan if no entity has what is given."""
+    refs = relations.select("relation_pk", "cluster_id", "emission", "source").dropDuplicates(["relation_pk"])
+    parents = entities.where("id <> ''").select("cluster_id", "emission", "id").distinct()
+    return find_orphans(refs, parents, {"cluster_id": "cluster_id", "emission": "emission", "source": "id"}, "partial").select("relation_pk", "null_mask")
 
 
 def orphan_report(orphans: DataFrame, table: str = "relations", period: str = "month") -> DataFrame:

@@ -63,6 +63,34 @@ def test_fields_and_coercion(spark):
     assert (row.id, row.document_frequency, row.confidence, row.pos) == ("3", 4, None, 0)
 
 
+def test_braces_before_the_graph_and_texts_for_python(spark):
+    rows = [
+        response(1, 'Here is {the graph}: {"entities": [{"id": "a"}]}'), response(2, '{"entities": [{"id": "a"}], "entities": [{"id": "b"}, {"id": "c"}]}'),
+        response(3, '{"entities": [{"id": "a"} {"id": "b"}]}'), response(4, '{"entities": [{"id": "a", "evidence": [{"quote": "q"}]'), response(5, '{"relations": {"source": "a", "x": NaN}}'),
+    ]
+    assert links(spark, rows) == {(1, "entity", -1, 0), (2, "entity", -1, 0), (2, "entity", -1, 1), (5, "relation", -1, 0)}
+
+
+def test_jvm_and_python_read_alike(spark):
+    """The same graphs, once as the JVM reads them and once, behind a brace that it refuses, as Python does."""
+    rng = random.Random(9)
+    odd = lambda: rng.choice([None, "x", "4", 4, 2.0, 2.5, True, [1, "2", None], {"k": 1}, "", "[1]"])
+    span = lambda: rng.choice([odd(), {"document_index": odd(), "quote": "q", "section": rng.choice([None, "s"])}])
+    item = lambda keys: rng.choice([odd(), {k: odd() for k in keys if rng.random() < 0.8} | {"evidence": rng.choice([odd(), span(), [span(), span()], json.dumps([{"quote": "z"}])])}])
+    graphs = []
+    for _ in range(150):
+        g = {
+            "entities": [item(["name", "document_frequency", "confidence"]) for _ in range(3)], "relations": rng.choice([odd(), [item(["support_count", "source_documents"]) for _ in range(3)]]),
+            "reasoning_paths": [{"path": odd(), "confidence": odd()}],
+        }
+        graphs.append(json.dumps({k: v if rng.random() < 0.8 else json.dumps(v) for k, v in g.items()}, separators=(",", ":")))
+    text = lambda v: str(v).replace(" ", "")  # noqa: E731  (spaces inside objects kept as text differ)
+    for kind in flatten.GRAPH_TABLES:
+        tables = [flatten.child_table(spark.createDataFrame([response(i, head + g) for i, g in enumerate(graphs)], ACC), kind).collect() for head in ("", "{- ")]
+        assert {text(r) for r in tables[0]} == {text(r) for r in tables[1]}
+        assert tables[0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], ACC)
     assert flatten.child_links(df).count() == 0
@@ -134,6 +162,14 @@ def test_match_semantics(spark):
         find("other")
 
 
+def test_partial_sources(spark):
+    rel = [(1, "c", 0, "a", None, None, None, None), (1, "c", 0, "a", None, None, None, None), (2, "c", 0, None, None, None, None, None), (3, "q", 0, None, None, None, None, None),
+           (4, None, None, None, None, None, None, None), (5, None, 0, "a", None, None, None, None), (6, "c", 1, "a", None, None, None, None)]
+    ent = [(1, "c", 0, "a", None, None, "s"), (2, "c", 1, None, None, None, "s")]
+    got = orphans.source_orphans(spark.createDataFrame(rel, REL), spark.createDataFrame(ent, ENT)).collect()
+    assert {(r.relation_pk, r.null_mask) for r in got} == {(3, 4), (6, 0)}
+
+
 def test_empty_tables(spark):
     one = [(1, "c", 0, "a", "a", DAY[0], DAY[1], None)]
     assert reasons(spark, [], []) == {}
