@@ -35,14 +35,84 @@ def test_planted(spark):
     assert k.leaked_items(d, e.limit(0)).count() == 0
 
 
-def test_blocks_agree(spark, monkeypatch):
+def pairs(rows):
+    return {(r.item_id, r.doc_id) for r in rows.collect()}
+
+
+ITEM = "item_id bigint, suite string, text string, answer string"
+
+
+def test_blocks_agree(spark):
+    """The instruction line is found whatever the blocks are: two items a block give what one block gives."""
     rng = random.Random(4)
-    items = [(i, "s", " ".join(text(40, rng)), None) for i in range(6)]
-    d = spark.createDataFrame([(i, items[i][2]) for i in range(6)], "doc_id bigint, text string")
-    e = spark.createDataFrame(items, "item_id bigint, suite string, text string, answer string")
-    blocks = list(k.item_blocks(e, 90))
+    items = [(i, "s", OPENING + " " + " ".join(text(20, rng)), None) for i in range(6)]
+    d = spark.createDataFrame([(i, items[i][2]) for i in range(6)] + [(9, OPENING + " " + " ".join(text(50, rng)))], "doc_id bigint, text string")
+    e = spark.createDataFrame(items, ITEM)
+    blocks = list(k.item_blocks(e, 70))
     assert len(blocks) == 3 and sum(map(len, blocks)) == 6
-    assert {(r.item_id, r.doc_id) for r in k.leaked_items(d, e).collect()} == {(i, i) for i in range(6)}
+    whole = k.leaked_items(d, e).collect()
+    assert {(r.item_id, r.doc_id) for r in whole} == {(i, i) for i in range(6)}
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, k.leaked_items(d, e, block_words=70).collect()))
+
+
+def test_long_instructions_and_short_items(spark):
+    rng = random.Random(14)
+    opening = text(90, rng)
+    e = spark.createDataFrame([(i, "s", " ".join(opening + text(95, rng)), None) for i in range(4)] + [(9, "t", "Who built Tavo pier?", None), (10, "t", "Tavo pier", None)], ITEM)
+    d = spark.createDataFrame([(1, " ".join(opening)), (2, "I ask: who BUILT Tavo pier, and when?"), (3, "who built the Tavo pier, ferry and Tavo pier")], "doc_id bigint, text string")
+    assert pairs(k.leaked_items(d, e)) == {(9, 2)}
+
+
+def test_exchanged_words_against_all_alignments():
+    """Passages of a third or more with a word exchanged every four to ten: what laying the item along every diagonal
+    finds, the seeds find."""
+    rng = random.Random(15)
+    least = 1 / 3
+    lost = found = 0
+    for trial in range(150):
+        item = text(rng.randrange(30, 150), rng)
+        part = item[(at := rng.randrange(0, len(item) // 2)) : at + rng.randrange(len(item) // 3, len(item))]
+        gap, doc = rng.randrange(4, 11), []
+        for j, w in enumerate(part):
+            doc.append("changed" if j % gap == gap - 1 else w)
+        doc = text(rng.randrange(40), rng) + doc + text(rng.randrange(40), rng)
+        index = k.ItemIndex([(1, item, 0)])
+        ids = np.array([index.vocab.get(w, 0) for w in doc])
+        every = index.runs(ids, 0, np.arange(-len(item), len(doc)))
+        want = index.chain(every)[0] / len(item) >= least
+        got = bool(index.search([doc], least))
+        assert got == want, trial
+        kept = sum(w != "changed" for w in doc[: len(doc)]) and sum(1 for j in range(len(part)) if j % gap != gap - 1) / len(item) >= least
+        found, lost = found + (kept and got), lost + (kept and not got)
+    assert lost <= 0.03 * (found + lost)
+
+
+def test_tags_of_any_length():
+    long = "<a href='" + "x" * 2000 + "' title=\"" + "word " * 200 + "\">"
+    assert k.tokens(f"one {long}two</a> <b>three</b> a<b and c>d".replace("a<b and c>d", "four < five")) == ["one", "two", "three", "four", "five"]
+    assert k.tokens("caf&eacute; so\u00adft &amp; x&#233;y") == ["café", "soft", "xéy"]
+
+
+def test_spans_are_removed(spark):
+    rng = random.Random(16)
+    item = text(60, rng)
+    half = ["caf&eacute;", *item[:20], "<b>" + item[20] + "</b>", *item[21:40]]
+    e = spark.createDataFrame([(1, "s", " ".join(item), None)], ITEM)
+    d = spark.createDataFrame([(1, "Before this. " + ", ".join(half) + ". After that."), (2, "clean"), (3, None)], "doc_id bigint, text string")
+    leaks = k.leaked_items(d, e)
+    out = {r.doc_id: r.text for r in k.without_passages(d, leaks).collect()}
+    assert out[2] == "clean" and out[3] is None
+    assert k.tokens(out[1]) == ["before", "this", "café", "after", "that"]
+    assert k.leaked_items(k.without_passages(d, leaks), e).count() == 0
+
+
+def test_token_places():
+    rng = random.Random(17)
+    for _ in range(200):
+        t = "".join(rng.choice(["ab", "é", "&amp;", "&eacute;", "&", "<b>", "</i>", " ", "\u00ad", "X", "&#x41;", "<", ".", "İ", "4"]) for _ in range(30))
+        places = k.token_places(t)
+        assert len(places) == len(k.tokens(t.replace("İ", "i")))
+        assert all(a < b for a, b in places) and all(x[1] <= y[0] for x, y in zip(places, places[1:], strict=False))
 
 
 def test_chain_against_exhaustive():
@@ -70,7 +140,7 @@ def test_chain_against_exhaustive():
 def test_seeds_are_all_hits():
     rng = random.Random(6)
     items = [(i, "", text(30, rng)) for i in range(4)]
-    index = k.ItemIndex(items)
+    index = k.ItemIndex([(i, own, 0) for i, _, own in items])
     words = text(30, rng) + items[2][2][5:20] + text(10, rng)
     ids = np.array([index.vocab.get(w, 0) for w in words])
     at, item, pos = index.lookup(ids)
@@ -89,10 +159,31 @@ def test_repeated_items_and_shared_passages(spark):
     assert {(r.item_id, r.doc_id) for r in k.leaked_items(d, e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2)}
 
 
-def test_instruction_lines():
+def openings(items, least=3):
+    """Brute force: item -> words of the instruction line."""
+    texts = {(suite, tuple(words)): line for _, suite, words, line in items}
+    out = {}
+    for item, suite, words, _ in items:
+        own = [(w, line) for (s, w), line in texts.items() if s == suite]
+        common = by_line = 0
+        for n in range(1, len(words) + 1):
+            alike = [(w, line) for w, line in own if w[:n] == tuple(words[:n])]
+            roomy = 2 * sum(2 * n <= len(w) for w, _ in alike) >= len(alike)
+            if len(alike) >= max(least, len(own) / 2):
+                common = n if roomy else 0
+            if sum(line == n for _, line in alike) >= least and roomy:
+                by_line = n
+        out[item] = min(max(common, by_line), out.get(item, len(words)))
+    return out
+
+
+def test_instruction_lines(spark):
     rng = random.Random(8)
     first, second = OPENING.lower().split(), "now fill in the word that is missing".split()
     items = [(i, "a", first + text(40, rng), 0) for i in range(6)] + [(9, "a", text(40, rng), 0)]
     items += [(20 + i, "b", second + text(40, rng), len(second)) for i in range(3)] + [(30 + i, "b", text(40, rng), 0) for i in range(9)]
-    want = {i: len(first) for i in range(6)} | {20 + i: len(second) for i in range(3)}
-    assert k.shared_openings(items) == {i: want.get(i, 0) for i, *_ in items}
+    items += [(40 + i, rng.choice("cde"), (same := text(3, random.Random(1))) + text(rng.randrange(1, 6), rng), rng.choice([0, 3])) for i in range(40)]
+    rows = [(i, s, " ".join(w[:line]) + "\n" * bool(line) + " ".join(w[line:]), None) for i, s, w, line in items]
+    got = {r.item_id: r.skip for r in k.instruction_words(spark.createDataFrame(rows + rows[:4], ITEM)).collect()}
+    assert got == openings(items)
+    assert got[0] == len(first) and got[20] == len(second) and got[9] == got[30] == 0 and len(same) == 3
