@@ -28,6 +28,16 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_report(_mapped(spark, d))
 
 
+def p1_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All entries within the distance of every typed value, not only the closest."""
+    terms, out = read_table(spark, d, "ontology_terms"), None
+    for table, pk, column, field in (("entities", "entity_pk", "type", "entity_type"), ("relations", "relation_pk", "relation_type", "relation_type")):
+        values = canonical.typed_values(read_table(spark, d, table), pk, column, terms, field).select("value").distinct()
+        found = canonical.value_candidates(values, canonical.reference_paths(terms, field)).select(F.lit(field).alias("field"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ---- 2: names -------------------------------------------------------------------------------------------------------
 
 
@@ -109,7 +119,7 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_found, p2_variants, p3_found, p3_providers, p6_found, p6_pieces, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_hosts)
+    for f in (p1_found, p1_unmatched, p1_candidates, p2_found, p2_variants, p3_found, p3_providers, p6_found, p6_pieces, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_hosts)
 }
 
 _BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
