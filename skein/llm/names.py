@@ -2,17 +2,19 @@
 
 Method: every name is rewritten to its canonical forms by rules (nickname to given name, initial, titles and middle
 names dropped, token order, legal forms and abbreviations, acronym, one letter left out of the distinctive token, so
-that typing errors meet); the forms are exploded and equi-joined within the cluster. Pairs that meet get no score of how
-rare the rewriting is; uniqueness replaces it: a full name speaks for itself, while an initial, a bare family name or an
-acronym is linked only where it can mean one person or body of that cluster. Links pass over one full name in between, which
-joins two different misspellings of it.
+that typing errors meet); the forms are exploded and equi-joined within the cluster. What meets is scored by the rarity
+of the rewriting: a full name speaks for itself (1); an initial, a bare family name or an acronym scores one over the
+number of different persons or bodies of that cluster that it may be rewritten from, and is linked above ``LEAST_SCORE``.
+Links pass over one full name in between, which joins two different misspellings of it.
 
 The lists only add forms: a name outside them (unlisted given names, three words and more, short names of bodies, single
 words) meets its variants under its folded words in any order, abbreviations written out, and a plain pair of words is
 read as given and family name as well. Names of the same words are the same, however they are read.
 
-The distinctive token (family name, place or own name of a body) is part of every form, so a group of rows that meet
-holds the spellings of a few namesakes, however large the cluster is; rows are only joined to names at the end.
+The distinctive token (family name, place or own name of a body) is the key of all joins. Which tokens are misspellings of
+one another is found once for the distinct tokens of a cluster, not for every name that bears them; of the bearers of one
+token, full names meet only under the same given name. So a common family name costs no pairs of its namesakes; rows are
+only joined to names at the end.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -60,8 +62,11 @@ BODY_WORDS = frozenset(
     "incorporated bank chamber electric gas public works commerce refugee aid marine food safety energy football teachers farmers river steel housing trust port "
     "transit space airlines council union party office bureau service society club college school church police court group partners".split()
 )
-#: Letters of a distinctive token up to which misspellings of it are looked for; longer ones must agree.
+#: Letters of a distinctive token up to which each is left out in turn; a longer one misspelt in one place keeps its first
+#: or its last LONGEST // 2 letters. Tokens of up to four letters must agree (see ``compatible``).
 LONGEST = 60
+#: Score that a rewriting must exceed: over one half it may mean one only.
+LEAST_SCORE = 0.5
 _STOP = frozenset("of for and the de du la und y et".split())
 _ACRONYM = re.compile(r"(?:[A-Z]{2,7}|(?:[A-Z]\.){2,7})")
 _PLAIN = re.compile(r"[^\W\d_][^\W\d_'’-]+(?:['’-][^\W\d_]+)*")
@@ -211,26 +216,44 @@ def acronyms(n: Name, name: str) -> list[str]:
     return list(dict.fromkeys([x.lower() for x in explicit] + ["".join(w[0] for w in (*n.own.split(), *n.body))]))
 
 
-def forms(name: str) -> list[str]:
+class Forms(NamedTuple):
     """The canonical rewritings under which a name meets its variants."""
+
+    own: str | None  # the distinctive token with what kind of name it is of
+    given: tuple[str, ...]  # what full names of one token must share, one of these at least
+    near: tuple[str, ...]  # forms of the token that its misspellings share
+    whole: str | None  # all words
+    letters: tuple[str, ...]  # acronyms
+
+
+@lru_cache(maxsize=50_000)
+def _left_out(own: str) -> tuple[str, ...]:
+    if len(own) <= 4:
+        return ()
+    if len(own) > LONGEST:
+        return (own[: LONGEST // 2] + "-", "-" + own[-(LONGEST // 2) :])
+    return tuple(dict.fromkeys([own, *(own[:i] + own[i + 1 :] for i in range(len(own)))]))
+
+
+def forms(name: str) -> Forms:
     n = parse(name)
     words = same_words(name)
     if not words:
-        return []
+        return Forms(None, (), (), None, ())
     # what the lists read meets under its own forms; the rest, and what may be the same words as the rest, under all words
-    whole = ["w:" + " ".join(words)]
+    whole = " ".join(words)
     if n.kind == "acronym":
-        return ["a:" + n.own, *whole]
+        return Forms(None, (), (), whole, (n.own,))
     if n.kind == "other" or not n.own:
-        return whole
-    fewer = dict.fromkeys([n.own, *(n.own[:i] + n.own[i + 1 :] for i in range(len(n.own)))] if 4 < len(n.own) <= LONGEST else [n.own])
+        return Forms(None, (), (), whole, ())
     # two misspellings of one name may share no such form; they share its beginning or its end
     ends = (n.own[:4] + "-", "-" + n.own[-7:]) if n.full and 8 <= len(n.own) <= LONGEST else ()
     if n.kind == "person":
         listed = len(words) == 2 and not n.loose and (n.initial or any(w in n.given or w in _GIVEN for w in words) and n.given <= NICKNAMES.keys())
-        return ["p:" + x for x in fewer] + [f"g:{g}:{e}" for g in sorted(n.given) for e in ends] + ([] if listed else whole)
+        near = (*_left_out(n.own), *(f"{g}:{e}" for g in sorted(n.given) for e in ends))
+        return Forms("p:" + n.own, tuple(sorted(n.given)), near, None if listed else whole, ())
     body = "".join(sorted(w[:2] for w in n.body))
-    return [f"o:{body}:{x}" for x in (*fewer, *ends)] + ["a:" + x for x in acronyms(n, name)]
+    return Forms(f"o:{body}:{n.own}", ("",), (*_left_out(n.own), *ends), None, tuple(acronyms(n, name)))
 
 
 def sense(name: str) -> str:
@@ -274,45 +297,75 @@ def compatible(a: str, b: str) -> bool:
 
 
 def name_forms(names: DataFrame) -> DataFrame:
-    """(cluster_id, name, key, short, full, sense) of distinct names: key is a hash of cluster and form (what meets by
-    chance is told apart by ``compatible``), short marks the letters of acronyms."""
+    """(cluster_id, name, full, sense, own, given, near, whole, letters) of distinct names (cluster_id, name)."""
+    schema = "cluster_id string, name string, full boolean, sense string, own string, given array<string>, near array<string>, whole string, letters array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for c, n in zip(pdf["cluster_id"], pdf["name"], strict=True):
-                if fs := forms(n):
-                    rows.append((c, n, fs, parse(n).full, sense(n)))
-            yield pd.DataFrame(rows, columns=["cluster_id", "name", "forms", "full", "sense"])
+            rows = [(c, n, parse(n).full, sense(n), *forms(n)) for c, n in zip(pdf["cluster_id"], pdf["name"], strict=True)]
+            yield pd.DataFrame(rows, columns=["cluster_id", "name", "full", "sense", "own", "given", "near", "whole", "letters"])
 
-    flat = names.mapInPandas(run, "cluster_id string, name string, forms array<string>, full boolean, sense string")
-    flat = flat.select("cluster_id", "name", "full", "sense", F.explode("forms").alias("form"))
-    return flat.select("cluster_id", "name", F.xxhash64("cluster_id", "form").alias("key"), F.col("form").startswith("a:").alias("short"), "full", "sense")
+    return names.mapInPandas(run, schema)
 
 
-def name_links(names: DataFrame) -> DataFrame:
-    """(cluster_id, name_a, name_b) of distinct names (cluster_id, name) that denote the same; name_a < name_b."""
+def near_tokens(f: DataFrame) -> DataFrame:
+    """(cluster_id, own, own_b): distinctive tokens of a cluster that may be misspellings of one another, both ways. f:
+    ``name_forms``."""
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        cut = lambda x: x.rsplit(":", 1)[-1]
+        return pd.Series([within(cut(x), cut(y), 2) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    kind = F.regexp_extract("own", r"^(?s)(.*):", 1)
+    flat = f.where("own is not null").select("cluster_id", "own", F.explode("near").alias("form")).withColumn("key", F.xxhash64("cluster_id", kind, "form")).select("cluster_id", "own", "key").distinct()
+    met = flat.join(flat.select("cluster_id", "key", F.col("own").alias("own_b")), ["cluster_id", "key"]).where("own < own_b").select("cluster_id", "own", "own_b").distinct()
+    met = checkpointed(met.where(close("own", "own_b")))
+    return met.unionByName(met.select("cluster_id", F.col("own_b").alias("own"), F.col("own").alias("own_b")))
+
+
+def name_pairs(names: DataFrame) -> DataFrame:
+    """(cluster_id, a, full_a, sense_a, b, full_b, sense_b, how): distinct names that meet under a form and may denote the
+    same, both ways; how is 2 for names of the same words."""
 
     @F.pandas_udf("int")
     def may(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([compatible(x, y) * (2 if same_words(x) == same_words(y) else 1) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    f = checkpointed(name_forms(names))  # read four times below
-    left = f.select("cluster_id", "key", "short", F.col("name").alias("a"), F.col("full").alias("full_a"), F.col("sense").alias("sense_a"))
-    right = f.select("cluster_id", "key", "short", F.col("name").alias("b"), F.col("full").alias("full_b"), F.col("sense").alias("sense_b"))
-    own = left.where("not short").drop("short").join(right.where("not short").drop("short"), ["cluster_id", "key"])
+    f = checkpointed(name_forms(names))  # read by every join below
+    side = lambda df, x, *more: df.select("cluster_id", *more, F.struct("name", "full", "sense").alias(x))
+    bears = f.where("own is not null")
+    full, short = bears.where("full").withColumn("g", F.explode("given")), bears.where("not full")
+    near = near_tokens(f)
+    pairs = [
+        side(full, "x", "own", "g").join(side(full, "y", "own", "g"), ["cluster_id", "own", "g"]).where("x.name < y.name"),
+        side(short, "x", "own").join(side(bears, "y", "own"), ["cluster_id", "own"]).where("x.name < y.name or x.name > y.name and y.full"),
+        side(full, "x", "own", "g").join(near.where("own < own_b"), ["cluster_id", "own"]).join(side(full.withColumnRenamed("own", "own_b"), "y", "own_b", "g"), ["cluster_id", "own_b", "g"]),
+        side(short, "x", "own").join(near, ["cluster_id", "own"]).join(side(bears.withColumnRenamed("own", "own_b"), "y", "own_b"), ["cluster_id", "own_b"]).where("y.full or x.name < y.name"),
+        side(f.where("whole is not null"), "x", "whole").join(side(f.where("whole is not null"), "y", "whole"), ["cluster_id", "whole"]).where("x.name < y.name"),
+    ]
     # full names need not meet under their letters: those are shared by too many, and only an acronym asks for them
-    spelt = left.where("short and not full_a").drop("short").join(right.where("short").drop("short"), ["cluster_id", "key"]).drop("key")
-    turned = spelt.where("full_b").select("cluster_id", F.col("b").alias("a"), F.col("full_b").alias("full_a"), F.col("sense_b").alias("sense_a"), F.col("a").alias("b"), F.col("full_a").alias("full_b"), F.col("sense_a").alias("sense_b"))
-    met = own.drop("key").unionByName(spelt).unionByName(turned).where("a <> b").distinct()
+    letters = f.withColumn("l", F.explode("letters"))
+    pairs.append(side(letters.where("not full"), "x", "l").join(side(letters, "y", "l"), ["cluster_id", "l"]).where("x.name <> y.name and (y.full or x.name < y.name)"))
+    met = reduce(DataFrame.unionByName, [p.select("cluster_id", "x", "y") for p in pairs])
+    may_be = met.withColumn("how", may("x.name", "y.name")).where("how > 0")
+    ordered = may_be.select("cluster_id", *[F.when(F.col("x.name") < F.col("y.name"), F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("x", "y", "x"), ("y", "x", "y"))], "how").distinct()
+    once = checkpointed(ordered)  # the pairs of namesakes only, read by every rule
     # both directions are kept: each side's rewriting is judged by what else it may mean
-    pairs = checkpointed(met.withColumn("how", may("a", "b")).where("how > 0"))  # the pairs of namesakes only, read by every rule below
+    flat = lambda p, q: once.select("cluster_id", *[F.col(f"{u}.{c}").alias(f"{c}_{v}" if c != "name" else v) for u, v in ((p, "a"), (q, "b")) for c in ("name", "full", "sense")], "how")
+    return flat("x", "y").unionByName(flat("y", "x"))
+
+
+def name_links(names: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """(cluster_id, name_a, name_b) of distinct names (cluster_id, name) that denote the same; name_a < name_b."""
+    pairs = name_pairs(names)
     strong = pairs.where("full_a and full_b or how = 2").select("cluster_id", "a", "b")
     weak = pairs.where("not full_a or not full_b")
     meanings = weak.where("not full_a and sense_b <> ''").groupBy("cluster_id", "a").agg(F.collect_set("sense_b").alias("senses"))
     full = F.filter("senses", lambda s: ~s.endswith("*"))
     lone = F.filter("senses", lambda s: s.endswith("*") & ~F.exists(full, lambda g: F.substring(g, 1, 1) == F.substring(s, 1, 1)))
-    single = meanings.where(F.size(full) + F.size(lone) <= 1).select("cluster_id", F.col("a").alias("name"), F.element_at(F.concat(full, lone, F.array(F.lit(""))), 1).alias("meant"))
+    score = F.try_divide(F.lit(1.0), F.size(full) + F.size(lone))  # null where there is nothing that it may mean
+    single = meanings.where(F.coalesce(score, F.lit(1.0)) > least_score).select("cluster_id", F.col("a").alias("name"), F.element_at(F.concat(full, lone, F.array(F.lit(""))), 1).alias("meant"))
     to_full = weak.where("not full_a and full_b").join(single.withColumnRenamed("name", "a"), ["cluster_id", "a"]).select("cluster_id", "a", "b")
     both = weak.where("not full_a and not full_b and a < b")
     sa, sb = single.select("cluster_id", F.col("name").alias("a"), F.col("meant").alias("meant_a")), single.select("cluster_id", F.col("name").alias("b"), F.col("meant").alias("meant_b"))

@@ -100,8 +100,8 @@ UNLISTED = [
 
 def test_names_outside_the_lists(spark):
     assert found(spark, rows(UNLISTED)) == expected(UNLISTED)
-    assert all(n.forms(name) for g in UNLISTED for name in g)
-    assert n.forms(",") and n.forms("…") and not n.forms("  ")
+    assert all(n.forms(name).own or n.forms(name).whole for g in UNLISTED for name in g)
+    assert n.forms(",").whole and n.forms("…").whole and not n.forms("  ").whole
 
 
 def test_case_of_an_ambiguous_family_name(spark):
