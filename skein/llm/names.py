@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
@@ -43,6 +43,7 @@ NICKNAMES = {
     "daniel": "dan danny", "david": "dave", "matthew": "matt", "stephen": "steve", "susan": "sue susie", "jennifer": "jen jenny", "rebecca": "becky",
     "barbara": "barb", "deborah": "debbie", "catherine": "cathy cath", "peter": "pete", "philip": "phil", "ronald": "ron", "donald": "don", "kenneth": "ken",
     "mary": "molly", "anna": "annie", "george": "georgie", "henry": "hank", "leonard": "leo len", "martin": "marty", "timothy": "tim", "walter": "walt",
+    "abigail": "abby", "cynthia": "cindy", "gabriel": "gabe", "jacob": "jake", "nathaniel": "nate", "pamela": "pam", "raymond": "ray", "vincent": "vince",
 }
 #: Titles.
 TITLES = frozenset("mr mrs ms miss dr prof professor rev reverend sen senator gov governor capt captain judge sir dame president minister col gen lt sgt fr".split())
@@ -67,6 +68,8 @@ BODY_WORDS = frozenset(
 LONGEST = 60
 #: Score that a rewriting must exceed: over one half it may mean one only.
 LEAST_SCORE = 0.5
+#: Legal forms, which a name may leave out.
+LEGAL_FORMS = frozenset("inc incorporated ltd limited llc plc gmbh ag aktiengesellschaft sa nv bv ab oy kg llp spa srl pty corp corporation".split())
 _STOP = frozenset("of for and the de du la und y et".split())
 _ACRONYM = re.compile(r"(?:[A-Z]{2,7}|(?:[A-Z]\.){2,7})")
 _PLAIN = re.compile(r"[^\W\d_][^\W\d_'’-]+(?:['’-][^\W\d_]+)*")
@@ -115,6 +118,30 @@ def within(a: str, b: str, bound: int = 1) -> bool:
     return row[-1] <= bound
 
 
+class Nearby:
+    """The words of a list within one edit of a token: both leave a letter out, or not, and come to the same."""
+
+    def __init__(self, words: Iterable[str]):
+        self.by: dict[str, list[str]] = {}
+        for w in sorted(words):
+            for form in self._forms(w):
+                self.by.setdefault(form, []).append(w)
+
+    @staticmethod
+    def _forms(w: str) -> set[str]:
+        return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+    def __call__(self, token: str) -> set[str]:
+        met = {w for form in self._forms(token) for w in self.by.get(form, ())} if len(token) <= LONGEST else set()
+        return {w for w in met if within(token, w)}
+
+
+_FULL_GIVEN = Nearby(NICKNAMES)
+_ANY_GIVEN = Nearby(n for n in _GIVEN if len(n) > 3)
+_KINDS = Nearby(w for w in BODY_WORDS if len(w) >= 3)
+_LINKING = Nearby(("of", "for", "and"))
+
+
 @lru_cache(maxsize=50_000)
 def given_names(token: str) -> frozenset[str]:
     """The given names that a token means, itself or misspelt in one place; empty if none."""
@@ -122,7 +149,7 @@ def given_names(token: str) -> frozenset[str]:
         return _GIVEN[token]
     if len(token) < 4:
         return frozenset()
-    return frozenset(full for full in NICKNAMES if within(token, full)) or frozenset(x for n, full in _GIVEN.items() if len(n) > 3 and within(token, n) for x in full)
+    return frozenset(_FULL_GIVEN(token)) or frozenset(x for n in _ANY_GIVEN(token) for x in _GIVEN[n])
 
 
 @lru_cache(maxsize=50_000)
@@ -134,12 +161,10 @@ def body_word(token: str) -> str | None:
         return SHORT_FORMS[token]
     if token in BODY_WORDS:
         return token
-    if len(token) <= 4 and any(len(w) > 1 and within(token, w) for w in ("of", "for", "and")):
+    if len(token) <= 4 and _LINKING(token):
         return ""
     if len(token) >= 3:
-        near = [w for w in BODY_WORDS if len(w) >= 3 and abs(len(w) - len(token)) <= 1 and within(token, w)]
-        if near:
-            return min(near)
+        return min(_KINDS(token), default=None)
     return None
 
 
@@ -195,8 +220,8 @@ def parse(name: str) -> Name:
 
 @lru_cache(maxsize=200_000)
 def same_words(name: str) -> tuple[str, ...]:
-    """The folded words of a name in alphabetic order, without titles, function words and punctuation, abbreviations
-    written out. A name of nothing else is its own word; empty for a blank name only."""
+    """The folded words of a name in alphabetic order, without titles, legal forms, function words and punctuation,
+    abbreviations written out. A name of nothing else is its own word; empty for a blank name only."""
     plain = name.strip()
     if _ACRONYM.fullmatch(plain):
         return (plain.replace(".", "").lower(),)
@@ -207,6 +232,7 @@ def same_words(name: str) -> tuple[str, ...]:
     while len(words) > 1 and words[0] in TITLES:
         words = words[1:]
     words = [w for w in words if w not in ("the", "of", "for", "and")] or words
+    words = words[:1] + [w for w in words[1:] if w not in LEGAL_FORMS]
     return tuple(sorted(SHORT_FORMS.get(w, w) if len(words) > 1 else w for w in words)) or ((plain,) if plain else ())
 
 
@@ -264,6 +290,12 @@ def sense(name: str) -> str:
     return "".join(sorted(n.own[:2])) if n.kind == "body" else ""
 
 
+def initials(name: str) -> list[str]:
+    """The first letters that the given name may have; none if any may be."""
+    n = parse(name)
+    return sorted({g[0] for g in n.given}) or ([n.initial] if n.initial else [])
+
+
 def compatible(a: str, b: str) -> bool:
     """Whether two names may denote the same person or body."""
     if same_words(a) and same_words(a) == same_words(b):
@@ -297,13 +329,13 @@ def compatible(a: str, b: str) -> bool:
 
 
 def name_forms(names: DataFrame) -> DataFrame:
-    """(cluster_id, name, full, sense, own, given, near, whole, letters) of distinct names (cluster_id, name)."""
-    schema = "cluster_id string, name string, full boolean, sense string, own string, given array<string>, near array<string>, whole string, letters array<string>"
+    """(cluster_id, name, full, sense, own, given, near, whole, letters, initials) of distinct names (cluster_id, name)."""
+    schema = "cluster_id string, name string, full boolean, sense string, own string, given array<string>, near array<string>, whole string, letters array<string>, initials array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(c, n, parse(n).full, sense(n), *forms(n)) for c, n in zip(pdf["cluster_id"], pdf["name"], strict=True)]
-            yield pd.DataFrame(rows, columns=["cluster_id", "name", "full", "sense", "own", "given", "near", "whole", "letters"])
+            rows = [(c, n, parse(n).full, sense(n), *forms(n), initials(n)) for c, n in zip(pdf["cluster_id"], pdf["name"], strict=True)]
+            yield pd.DataFrame(rows, columns=["cluster_id", "name", "full", "sense", "own", "given", "near", "whole", "letters", "initials"])
 
     return names.mapInPandas(run, schema)
 
@@ -317,11 +349,15 @@ def near_tokens(f: DataFrame) -> DataFrame:
         cut = lambda x: x.rsplit(":", 1)[-1]
         return pd.Series([within(cut(x), cut(y), 2) for x, y in zip(a, b, strict=True)], dtype="bool")
 
+    # tokens and forms pass as hashes; the few tokens that meet fetch their letters
     kind = F.regexp_extract("own", r"^(?s)(.*):", 1)
-    flat = f.where("own is not null").select("cluster_id", "own", F.explode("near").alias("form")).withColumn("key", F.xxhash64("cluster_id", kind, "form")).select("cluster_id", "own", "key").distinct()
-    met = flat.join(flat.select("cluster_id", "key", F.col("own").alias("own_b")), ["cluster_id", "key"]).where("own < own_b").select("cluster_id", "own", "own_b").distinct()
-    met = checkpointed(met.where(close("own", "own_b")))
-    return met.unionByName(met.select("cluster_id", F.col("own_b").alias("own"), F.col("own").alias("own_b")))
+    token = F.xxhash64("cluster_id", "own").alias("token")
+    flat = f.where("own is not null").select("cluster_id", kind.alias("kind"), token, F.explode("near").alias("form")).select("token", F.xxhash64("cluster_id", "kind", "form").alias("key")).distinct()
+    met = flat.join(flat.withColumnRenamed("token", "token_b"), "key").where("token < token_b").select("token", "token_b").distinct()
+    tokens = f.where("own is not null").select("cluster_id", "own", token).distinct()
+    named = met.join(tokens, "token").join(tokens.select(F.col("token").alias("token_b"), F.col("own").alias("own_b"), F.col("cluster_id").alias("c")), "token_b").where("c = cluster_id")
+    close_ones = checkpointed(named.where(close("own", "own_b")).select("cluster_id", "own", "own_b"))
+    return close_ones.unionByName(close_ones.select("cluster_id", F.col("own_b").alias("own"), F.col("own").alias("own_b")))
 
 
 def name_pairs(names: DataFrame) -> DataFrame:
@@ -333,17 +369,20 @@ def name_pairs(names: DataFrame) -> DataFrame:
         return pd.Series([compatible(x, y) * (2 if same_words(x) == same_words(y) else 1) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     f = checkpointed(name_forms(names))  # read by every join below
-    side = lambda df, x, *more: df.select("cluster_id", *more, F.struct("name", "full", "sense").alias(x))
+    side = lambda df, x, *more: df.select("cluster_id", *more, F.struct("name", "full", "sense", "initials").alias(x))
+    alike = (F.size("x.initials") == 0) | (F.size("y.initials") == 0) | F.arrays_overlap("x.initials", "y.initials")
     bears = f.where("own is not null")
     full, short = bears.where("full").withColumn("g", F.explode("given")), bears.where("not full")
     near = near_tokens(f)
-    pairs = [
+    # one side of every join is the full names of one given name, or the few short forms of a token
+    by_token = [
         side(full, "x", "own", "g").join(side(full, "y", "own", "g"), ["cluster_id", "own", "g"]).where("x.name < y.name"),
         side(short, "x", "own").join(side(bears, "y", "own"), ["cluster_id", "own"]).where("x.name < y.name or x.name > y.name and y.full"),
         side(full, "x", "own", "g").join(near.where("own < own_b"), ["cluster_id", "own"]).join(side(full.withColumnRenamed("own", "own_b"), "y", "own_b", "g"), ["cluster_id", "own_b", "g"]),
         side(short, "x", "own").join(near, ["cluster_id", "own"]).join(side(bears.withColumnRenamed("own", "own_b"), "y", "own_b"), ["cluster_id", "own_b"]).where("y.full or x.name < y.name"),
-        side(f.where("whole is not null"), "x", "whole").join(side(f.where("whole is not null"), "y", "whole"), ["cluster_id", "whole"]).where("x.name < y.name"),
     ]
+    words = f.where("whole is not null")
+    pairs = [p.where(alike) for p in by_token] + [side(words, "x", "whole").join(side(words, "y", "whole"), ["cluster_id", "whole"]).where("x.name < y.name")]
     # full names need not meet under their letters: those are shared by too many, and only an acronym asks for them
     letters = f.withColumn("l", F.explode("letters"))
     pairs.append(side(letters.where("not full"), "x", "l").join(side(letters, "y", "l"), ["cluster_id", "l"]).where("x.name <> y.name and (y.full or x.name < y.name)"))

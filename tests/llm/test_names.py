@@ -107,3 +107,29 @@ def test_names_outside_the_lists(spark):
 def test_case_of_an_ambiguous_family_name(spark):
     data = rows([["Robert Kolvandik", "Richard Kolvandik", "Kolvandik", "KOLVANDIK"]])
     assert found(spark, data) == {(2, 3)}
+
+
+def test_held_out_names(spark):
+    """Names made for no list: linked, or refused for the reason given."""
+    linked = [["Siobhan Delacroix", "S. Delacroix"], ["Wei Zhang", "W. Zhang"], ["Priya Ramanathan", "Priya Ramanthan"], ["Siemens AG", "Siemens Aktiengesellschaft"], ["Acme GmbH", "Acme"], ["Tesla, Inc.", "Tesla Inc"],
+              ["Abigail Bonnet", "Abby Bonnet"], ["Warner Ingrid", "Ingrid Warner"], ["Global Widgets LLC", "Global Widgets"], ["Q" + "abcdefgh" * 9 + " Institute of Food", "Q" + "abcdefgh" * 4 + "x" + "abcdefgh" * 5 + " Institute of Food"]]
+    refused = [
+        ["Maria del Carmen Lopez", "Maria Lopez"],  # a middle name written out may tell two relatives apart
+        ["Lee Ann", "Leo Ann"],  # tokens of up to four letters must agree
+    ]
+    assert found(spark, rows([*linked, *refused])) == expected(linked)
+
+
+def test_rewriting_scores(spark):
+    """An initial scores one over the persons that it may mean; a lower bound lets the ambiguous one pass."""
+    names = spark.createDataFrame([("c", x) for x in ("Robert Kolvandik", "Richard Kolvandik", "R. Kolvandik")], "cluster_id string, name string")
+    assert n.name_links(names).count() == 0
+    assert {(r.name_a, r.name_b) for r in n.name_links(names, 0.4).collect()} >= {("R. Kolvandik", "Robert Kolvandik"), ("R. Kolvandik", "Richard Kolvandik")}
+
+
+def test_namesakes_cost_no_pairs(spark):
+    """Of hundreds of bearers of one family name, only those of one given name are compared."""
+    given = ["".join(p) for p in itertools.product(["Bar", "Dor", "Fel", "Gus", "Hen"], ["a", "bert", "dina", "iko"], ["", "l", "s"])]
+    names = spark.createDataFrame([("c", f"{g} Kolvandik") for g in given] + [("c", f"{g} kolvandik") for g in given], "cluster_id string, name string")
+    assert n.name_pairs(names).count() == 2 * len(given)
+    assert n.name_links(names).count() == len(given)
