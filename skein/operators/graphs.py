@@ -7,12 +7,13 @@ of the last.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import clamp01
 from skein.schemas import OTHER_COLOR, TYPE_COLORS
-from skein.session import checkpointed
+from skein.session import checkpointed, collect_small, forget
 
 EMISSION = ["cluster_id", "emission"]
 _ENTITY = ["entity_pk", "cluster_id", "emission", "ord", "id", "name", "type", "document_frequency", "confidence"]
@@ -68,8 +69,8 @@ def components(vertices: DataFrame, links: DataFrame, max_rounds: int = 40) -> D
 
     vertices: (v); links: (a, b), direction meaningless, self-loops and repeats allowed. Alternating large-star and
     small-star (Kiveris et al. 2014): O(log^2 n) rounds, each two aggregations and joins on vertex keys; a star's centre is
-    an aggregate with map-side combination, never a collected group. Each round is checkpointed, so a lost executor
-    costs no earlier round, and only two numbers a round come to the driver."""
+    an aggregate with map-side combination, never a collected group. Each round is kept as a table until the next is, so a
+    lost executor costs no earlier round, and only two numbers a round come to the driver."""
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct()
     pairs = checkpointed(pairs)
     before = None
@@ -82,7 +83,8 @@ def components(vertices: DataFrame, links: DataFrame, max_rounds: int = 40) -> D
         down = large.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w"))
         least = down.groupBy("u").agg(F.min("w").alias("m"))
         moved = down.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w")
-        pairs = checkpointed(moved.unionByName(least.select("u", F.col("m").alias("w"))).distinct())
+        last, pairs = pairs, checkpointed(moved.unionByName(least.select("u", F.col("m").alias("w"))).distinct())
+        forget(last)
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "w").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -93,8 +95,50 @@ def components(vertices: DataFrame, links: DataFrame, max_rounds: int = 40) -> D
     return vertices.select("v").distinct().join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("component"))
 
 
-def component_counts(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str] = EMISSION) -> DataFrame:
-    """(keys, components) of every graph with nodes."""
+#: Rows of a graph up to which one task settles it; larger graphs are contracted across tasks.
+TASK_ROWS = 200_000
+
+
+def component_counts(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str] = EMISSION, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(keys, components) of every graph with nodes.
+
+    Graphs of up to ``task_rows`` nodes and edges are settled by union-find, each in one task after one shuffle; the
+    others, if there are any, by star contraction. Both count the same."""
+    rows = node_rows.select(*keys, F.col("id").alias("a"), F.col("id").alias("b")).unionByName(edge_rows.select(*keys, F.col("source").alias("a"), F.col("target").alias("b")))
+    large = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select(*keys))
+    few = collect_small(large)
+    if few == []:
+        return _settled(rows, keys)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    big = large.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    node_large, edge_large = node_rows.join(big, same, "left_semi"), edge_rows.join(big, same, "left_semi")
+    return _settled(rows.join(big, same, "left_anti"), keys).unionByName(_contracted(node_large, edge_large, keys))
+
+
+def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, first = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
+        root = list(range(len(first)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        left = len(first)
+        for x, y in zip(ids[: len(pdf)].tolist(), ids[len(pdf) :].tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[x] = y
+                left -= 1
+        return pdf.iloc[:1][keys].assign(components=left)
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*keys).applyInPandas(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", components bigint")
+
+
+def _contracted(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str]) -> DataFrame:
     mark = lambda c: F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys], F.col(c))
     every = all_nodes(node_rows, edge_rows, keys).withColumn("v", mark("id"))
     found = components(every, edge_rows.select(mark("source").alias("a"), mark("target").alias("b")))

@@ -33,9 +33,11 @@ class Response:
 
 
 class KGEngine:
-    """documents: (cluster_id, document_index, text)."""
+    """documents: (cluster_id, document_index, text). id_mode: how the graphs of single documents are merged, see
+    ``merge_parsed``."""
 
-    def __init__(self, documents: DataFrame, model: TextModel | None = None, request: ExtractionRequest | None = None):
+    def __init__(self, documents: DataFrame, model: TextModel | None = None, request: ExtractionRequest | None = None, id_mode: str = "resolved"):
+        self.id_mode = id_mode
         self.model, self.request = model or RuleModel(), request or ExtractionRequest()
         if self.request.cluster_ids is not None:
             documents = documents.where(F.col("cluster_id").isin(list(self.request.cluster_ids)))
@@ -128,7 +130,7 @@ class KGEngine:
         good, bad = with_repairs(run_model(asked, self.model, "doc_key"), self.model, parsing.parse_graphs, "doc_key")
         key = F.split("doc_key", "\x1f")
         rows = good.select(key[0].alias("cluster_id"), key[1].cast("int").alias("emission"), "parsed")
-        return merge_parsed(rows), bad.select(key[0].alias("cluster_id"), "error", "reason")
+        return merge_parsed(rows, self.id_mode), bad.select(key[0].alias("cluster_id"), "error", "reason")
 
     def _with_paths(self, graphs: DataFrame) -> DataFrame:
         asked = graphs.select("cluster_id", prompts.paths_prompt(F.col("kg_json")).alias("prompt"))
@@ -150,18 +152,34 @@ class KGEngine:
         return {"status": "ok"}
 
 
-def merge_parsed(rows: DataFrame) -> DataFrame:
+def unresolved_endpoints(rows: DataFrame) -> DataFrame:
+    """(cluster_id, emission, ord, endpoint, id): endpoints of parsed relations that no entity of their extraction has."""
+    ids = rows.select("cluster_id", "emission", F.explode("parsed.entities.id").alias("id")).distinct()
+    rel = rows.select("cluster_id", "emission", F.posexplode("parsed.relations").alias("ord", "r"))
+    ends = rel.select("cluster_id", "emission", "ord", F.explode(F.array(*[F.struct(F.lit(e).alias("endpoint"), F.col(f"r.{e}").alias("id")) for e in ("source", "target")])).alias("x"))
+    return ends.select("cluster_id", "emission", "ord", "x.*").join(ids, ["cluster_id", "emission", "id"], "left_anti")
+
+
+def merge_parsed(rows: DataFrame, id_mode: str = "resolved") -> DataFrame:
     """(cluster_id, kg_json) of parsed graphs (cluster_id, emission, parsed) merged in emission order: entities by
-    lower-case name, relations by the entities they resolve to, evidence by quote, paths as a bag.
+    lower-case name, relations by source, type and target, evidence by quote, paths as a bag.
+
+    id_mode ``resolved``: entities are numbered anew and endpoints follow the entities that they resolve to, one that
+    resolves to none stays as emitted (``unresolved_endpoints`` lists them); ``raw``: entities keep their first id and
+    endpoints are compared as emitted, so ids of different documents may meet. Source documents are the first list as it is
+    and later members once each.
 
     A cluster passes MAX_DOCUMENTS bounded extractions at most, so its merged graph is a bounded record."""
+    if id_mode not in ("resolved", "raw"):
+        raise ValueError(f"unknown id_mode: {id_mode}")
+    raw = id_mode == "raw"
     ent = rows.select("cluster_id", "emission", F.posexplode("parsed.entities").alias("ord", "e"))
     ent = ent.select("cluster_id", "emission", "ord", F.lower("e.name").alias("key"), "e")
     spans = ent.select("cluster_id", "key", "emission", "ord", F.posexplode("e.evidence").alias("i", "s"))
     kept = _kept_spans(spans, ["cluster_id", "key"])
     first = F.min_by(F.struct("e.id", "e.name", "e.type"), F.struct("emission", "ord")).alias("f")
     top = ent.groupBy("cluster_id", "key").agg(F.min(F.struct("emission", "ord")).alias("at"), first, F.max("e.document_frequency").alias("df"), F.max("e.confidence").alias("conf"))
-    ents = top.join(kept, ["cluster_id", "key"], "left").withColumn("id", F.concat(F.lit("entity_"), F.row_number().over(_by_cluster("at")).cast("string")))
+    ents = top.join(kept, ["cluster_id", "key"], "left").withColumn("id", F.col("f.id") if raw else F.concat(F.lit("entity_"), F.row_number().over(_by_cluster("at")).cast("string")))
     record = F.struct("id", F.col("f.name").alias("name"), F.col("f.type").alias("type"), F.col("df").alias("document_frequency"), F.col("conf").alias("confidence"), F.coalesce("evidence", F.array()).alias("evidence"))
     entity_lists = ents.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", record.alias("r")))), lambda x: x["r"]).alias("entities"))
     # endpoints: emitted id -> merged id
@@ -170,10 +188,16 @@ def merge_parsed(rows: DataFrame) -> DataFrame:
     rel = rel.select("cluster_id", "emission", "ord", "r", F.col("r.source").alias("rs"), F.col("r.target").alias("rt"))
     s = names.select("cluster_id", "emission", F.col("emitted").alias("rs"), F.col("id").alias("source"))
     t = names.select("cluster_id", "emission", F.col("emitted").alias("rt"), F.col("id").alias("target"))
-    rel = rel.join(s, ["cluster_id", "emission", "rs"]).join(t, ["cluster_id", "emission", "rt"]).withColumn("relation_type", F.col("r.relation_type"))
+    if raw:
+        rel = rel.withColumns({"source": F.col("rs"), "target": F.col("rt")})
+    else:
+        rel = rel.join(s, ["cluster_id", "emission", "rs"], "left").join(t, ["cluster_id", "emission", "rt"], "left")
+        rel = rel.withColumns({"source": F.coalesce("source", "rs"), "target": F.coalesce("target", "rt")})
+    rel = rel.withColumn("relation_type", F.col("r.relation_type"))
     keys = ["cluster_id", "source", "relation_type", "target"]
     rspans = _kept_spans(rel.select(*keys, "emission", "ord", F.posexplode("r.evidence").alias("i", "s")), keys)
-    docs = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("emission", "ord", F.col("r.source_documents").alias("d")))), lambda x: x["d"])))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("emission", "ord", F.col("r.source_documents").alias("d")))), lambda x: F.coalesce(x["d"], F.array().cast("array<bigint>")))
+    docs = F.aggregate(F.slice(lists, 2, F.lit(2**31 - 1)), F.element_at(lists, 1), lambda seen, d: F.concat(seen, F.array_except(d, seen)))
     rels = rel.groupBy(*keys).agg(F.min(F.struct("emission", "ord")).alias("at"), F.max("r.support_count").alias("support_count"), F.max("r.confidence").alias("confidence"), docs.alias("source_documents"))
     rels = rels.join(rspans, keys, "left")
     record = F.struct("source", "target", "relation_type", "support_count", "source_documents", "confidence", F.coalesce("evidence", F.array()).alias("evidence"))

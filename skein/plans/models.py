@@ -1,7 +1,8 @@
 """The boundary to text models: batches of prompts in, answers out.
 
-A model is any object with ``complete(prompts) -> answers``; it is pickled to the workers. Two are built in: rules (a
-deterministic extractor that reads the prompt's documents) and replay (recorded answers, joined by the prompt's hash).
+A model is any object with ``complete(prompts) -> answers``; it is pickled to the workers. Built in are rules (a
+deterministic extractor that reads the prompt's documents, grades and mends), the same misquoting at first (so that there is
+something to mend), and replay (a table of recorded answers, joined by the prompt's hash).
 Answers are expensive and need not repeat, so they are checkpointed before anything reads them twice.
 """
 
@@ -40,8 +41,11 @@ class RuleModel:
     def _answer(self, prompt: str) -> str:
         task = prompt[6:].split("\n", 1)[0] if prompt.startswith("TASK: ") else ""
         docs = [(int(i), t) for i, t in _DOC.findall(prompt.split("\n\nDOCUMENTS:\n", 1)[-1])]
-        if task in ("ontology", "evidence", "refine"):
+        if task in ("ontology", "evidence"):
             return json.dumps(self.extract(docs))
+        if task == "refine":
+            feedback, rest = prompt.split("\n\nFEEDBACK:\n", 1)[1].split("\n\nGRAPH:\n", 1)
+            return json.dumps(self.refine(rest.split("\n\nDOCUMENTS:\n", 1)[0], feedback, docs))
         if task == "grade":
             return json.dumps(self.grade(prompt.split("\n\nGRAPH:\n", 1)[1].split("\n\nDOCUMENTS:\n", 1)[0], docs))
         if task == "paths":
@@ -82,26 +86,80 @@ class RuleModel:
     def grade(kg_json: str, docs: list[tuple[int, str]]) -> dict:
         kg, texts = json.loads(kg_json), dict(docs)
         issues = []
-        for e in kg.get("entities", []):
-            spans = e.get("evidence") or []
+        ids = {e["id"] for e in kg.get("entities", [])}
+        checked = [(e["id"], e) for e in kg.get("entities", [])] + [(f"{r['source']}->{r['target']}", r) for r in kg.get("relations", [])]
+        for element, x in checked:
+            spans = x.get("evidence") or []
             if not spans:
-                issues.append({"issue_type": "WEAK_EVIDENCE", "element_id": e["id"], "description": "no evidence", "severity": "low"})
+                issues.append({"issue_type": "WEAK_EVIDENCE", "element_id": element, "description": "no evidence", "severity": "low"})
             elif any(s["quote"] not in texts.get(s["document_index"], "") for s in spans):
-                issues.append({"issue_type": "HALLUCINATION", "element_id": e["id"], "description": "quote not in document", "severity": "high"})
+                issues.append({"issue_type": "HALLUCINATION", "element_id": element, "description": "quote not in document", "severity": "high"})
+            elif "source" in x and not {x["source"], x["target"]} <= ids:
+                issues.append({"issue_type": "HALLUCINATION", "element_id": element, "description": "unknown endpoint", "severity": "high"})
         score = max(0.0, 1 - 0.1 * len(issues))
-        return {"overall_score": score, "issues": issues, "passes_threshold": score >= 0.7, "feedback_summary": f"{len(issues)} issues"}
+        named = "; ".join(f"{i['issue_type']} {i['element_id']}" for i in issues)
+        return {"overall_score": score, "issues": issues, "passes_threshold": score >= 0.7, "feedback_summary": f"{len(issues)} issues" + (": " + named if named else "")}
+
+    @staticmethod
+    def refine(kg_json: str, feedback: str, docs: list[tuple[int, str]]) -> dict:
+        """The graph with what the feedback names mended: its evidence read anew from the documents, or the element left
+        out where they hold none. All else stays as it is."""
+        kg, fresh = json.loads(kg_json), RuleModel.extract(docs)
+        named = {part.split(" ", 1)[1] for part in feedback.split(": ", 1)[-1].split("; ") if " " in part}
+        name = {e["id"]: e["name"].lower() for e in kg.get("entities", [])}
+        new_name = {e["id"]: e["name"].lower() for e in fresh["entities"]}
+        seen = {new_name[e["id"]]: e["evidence"] for e in fresh["entities"]}
+        joined = {(new_name[r["source"]], new_name[r["target"]]): r["evidence"] for r in fresh["relations"]}
+        out = {"entities": [], "relations": []}
+        for e in kg.get("entities", []):
+            if e["id"] not in named:
+                out["entities"].append(e)
+            elif spans := seen.get(e["name"].lower()):
+                out["entities"].append(e | {"evidence": spans})
+        kept = {e["id"] for e in out["entities"]}
+        for r in kg.get("relations", []):
+            if f"{r['source']}->{r['target']}" not in named:
+                out["relations"].append(r)
+            elif {r["source"], r["target"]} <= kept and (spans := joined.get((name[r["source"]], name[r["target"]]))):
+                out["relations"].append(r | {"evidence": spans})
+        return out
 
     @staticmethod
     def find_paths(kg: dict) -> dict:
+        """All chains of three entities. There are as many as the graph has pairs of edges that meet."""
         out: dict[str, list[str]] = {}
         for r in kg.get("relations", []):
             out.setdefault(r["source"], []).append(r["target"])
         found = [[a, b, c] for a in out for b in out[a] for c in out.get(b, []) if len({a, b, c}) == 3]
-        return {"reasoning_paths": [{"path": p, "description": " -> ".join(p), "confidence": 0.8} for p in found[:3]]}
+        return {"reasoning_paths": [{"path": p, "description": " -> ".join(p), "confidence": 0.8} for p in found]}
+
+
+class MisquotingModel(RuleModel):
+    """Reads like the rules, but its first extraction quotes entities in capitals; what it mends is right."""
+
+    def _answer(self, prompt: str) -> str:
+        answer = super()._answer(prompt)
+        if not prompt.startswith(("TASK: ontology\n", "TASK: evidence\n")):
+            return answer
+        kg = json.loads(answer)
+        for e in kg["entities"]:
+            e["evidence"] = [s | {"quote": s["quote"].upper()} for s in e["evidence"]]
+        return json.dumps(kg)
+
+
+class ReplayModel:
+    """Answers from a table (prompt_hash, answer) of recorded ones: the sha-256 of a prompt finds its answer. A prompt
+    without one gets a null answer, which is rejected as ``no_text``."""
+
+    def __init__(self, recorded: DataFrame):
+        self.recorded = recorded
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        raise RuntimeError("recorded answers are joined, not asked for")
 
 
 #: Models that can be had by name; others are passed as objects.
-MODELS = {"rules": RuleModel}
+MODELS = {"rules": RuleModel, "misquoting": MisquotingModel}
 
 
 def model_named(name: str) -> TextModel:
@@ -111,7 +169,9 @@ def model_named(name: str) -> TextModel:
 
 
 def run_model(prompts: DataFrame, model: TextModel, key: str = "cluster_id") -> DataFrame:
-    """(key, answer) of prompts (key, prompt), batch by batch on the workers, checkpointed."""
+    """(key, answer) of prompts (key, prompt), batch by batch on the workers, checkpointed. Recorded answers are joined."""
+    if isinstance(model, ReplayModel):
+        return checkpointed(replay(prompts, model.recorded, key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +44,42 @@ def ship_package(spark: SparkSession) -> None:
     sc._skein_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, so that lost executors lose no result.
+def checkpoint_folder(master: str, named: str | None) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors must share; a temporary one only where none is
+    named and everything runs on one machine."""
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="skein-checkpoint-")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary folder is made."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder and read from there, so that lost executors lose no result
+    and what reads it again prunes columns and filters. The table is deleted when the driver ends, or by ``forget``."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(checkpoint_folder(sc.master, named))
+    path = f"{sc.getCheckpointDir()}/skein-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, target = _file(spark, path)
+    fs.deleteOnExit(target)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._skein_path = path
+    return kept
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a ``checkpointed`` DataFrame that nothing will read again, such as a loop's last round."""
+    fs, target = _file(df.sparkSession, df._skein_path)
+    fs.delete(target, True)
+
+
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def collect_small(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
