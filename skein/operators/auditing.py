@@ -17,7 +17,8 @@ SHORT_QUOTE = 20
 
 
 def folded(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Lower case with single spaces."""
+    return F.lower(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
 
 
 def unsupported_quotes(spans: DataFrame, documents: DataFrame) -> DataFrame:
@@ -28,12 +29,21 @@ def unsupported_quotes(spans: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.select("span_id", reason.alias("reason")).where("reason is not null")
 
 
-def weak_evidence(entities: DataFrame, spans: DataFrame) -> DataFrame:
-    """WEAK_EVIDENCE: (entity_pk, reason) of entities without spans (none) or whose longest quote is short."""
-    longest = span_rows(spans).where("owner_kind = 'entity'").groupBy(F.col("owner_pk").alias("entity_pk")).agg(F.max(F.length("quote")).alias("longest"))
-    rows = entity_rows(entities).select("entity_pk").join(longest, "entity_pk", "left")
-    reason = F.when(F.col("longest").isNull(), "none").when(F.col("longest") < SHORT_QUOTE, "short")
-    return rows.select("entity_pk", reason.alias("reason")).where("reason is not null")
+def weak_evidence(entities: DataFrame, relations: DataFrame, spans: DataFrame, short: int = SHORT_QUOTE) -> DataFrame:
+    """WEAK_EVIDENCE: (owner_kind, owner_pk, reason) of entities and relations without spans (none) or whose longest quote
+    is shorter than ``short`` characters."""
+    longest = span_rows(spans).groupBy("owner_kind", "owner_pk").agg(F.max(F.length("quote")).alias("longest"))
+    rows = entity_rows(entities).select(F.lit("entity").alias("owner_kind"), F.col("entity_pk").alias("owner_pk"))
+    rows = rows.unionByName(relation_rows(relations).select(F.lit("relation").alias("owner_kind"), F.col("relation_pk").alias("owner_pk")))
+    reason = F.when(F.col("longest").isNull(), "none").when(F.col("longest") < short, "short")
+    return rows.join(longest, ["owner_kind", "owner_pk"], "left").select("owner_kind", "owner_pk", reason.alias("reason")).where("reason is not null")
+
+
+def loose_quotes(spans: DataFrame, documents: DataFrame) -> DataFrame:
+    """WEAK_EVIDENCE: (span_id) of quotes that stand in the cited document only when case and white space are folded."""
+    docs = documents.select("cluster_id", "document_index", "text")
+    joined = span_rows(spans).where("quote is not null").join(docs, ["cluster_id", "document_index"])
+    return joined.where(~F.contains("text", F.col("quote"))).where(F.contains(folded(F.col("text")), folded(F.col("quote")))).select("span_id")
 
 
 def missing_entities(documents: DataFrame, entities: DataFrame, least_documents: int = 3) -> DataFrame:
@@ -54,6 +64,18 @@ def missing_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return pairs.join(known, [*EMISSION, "a", "b"], "left_anti")
 
 
+def unrelated_together(entities: DataFrame, relations: DataFrame, spans: DataFrame) -> DataFrame:
+    """MISSING_RELATION: (keys, a, b): entities of an extraction whose evidence is one quote of one document, which no
+    relation joins. An extraction's entities with one quote are few, so the pairs of a quote are."""
+    own = entity_rows(entities).where("id <> ''").select(*EMISSION, "entity_pk", "id")
+    cited = span_rows(spans).where("owner_kind = 'entity' and quote is not null").select(F.col("owner_pk").alias("entity_pk"), "document_index", "quote")
+    met = own.join(cited, "entity_pk").select(*EMISSION, "document_index", F.xxhash64("quote").alias("q"), "quote", "id").distinct()
+    other = met.select(*EMISSION, "document_index", "q", F.col("quote").alias("quote_b"), F.col("id").alias("b"))
+    pairs = met.withColumnRenamed("id", "a").join(other, [*EMISSION, "document_index", "q"]).where("a < b and quote = quote_b").select(*EMISSION, "a", "b").distinct()
+    known = edges(relations).select(*EMISSION, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    return pairs.join(known, [*EMISSION, "a", "b"], "left_anti")
+
+
 #: Relation types that cannot hold both ways.
 ASYMMETRIC = ["CAUSES", "TREATS", "LOCATED_IN", "ACQUIRED", "RESULTED_IN", "MEASURED_BY", "FOUNDED_BY", "EMPLOYED_BY", "SUCCEEDED_BY", "BORN_IN", "PUBLISHED_BY"]
 

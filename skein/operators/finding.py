@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import alias_key
+from skein.operators.graphs import components
 
 #: What is written like a name. ASCII only, so that every engine reads it alike.
 MENTION = r"([A-Z][a-z]{3,})"
@@ -80,6 +81,24 @@ def alias_clusters(names: DataFrame) -> DataFrame:
     return counted.join(best.select("cluster_id", "key", F.col("b.name").alias("canonical")), ["cluster_id", "key"]).select("cluster_id", F.col("name").alias("alias"), "canonical")
 
 
+def similar_aliases(names: DataFrame, least: int = 6) -> DataFrame:
+    """(cluster_id, alias, canonical): as ``alias_clusters``, but keys of ``least`` letters or more that are one edit apart
+    (a letter more, less or other) are one as well, and so on along such keys.
+
+    Keys meet under the forms with one letter left out, so no pairs of a cluster's names are compared that don't meet."""
+    counted = names.where("name is not null").groupBy("cluster_id", "name").agg(F.count("*").alias("n")).withColumn("key", alias_key(F.col("name"))).where("key <> ''")
+    keys = counted.select("cluster_id", "key").distinct()
+    left_out = F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.substring("key", F.lit(1), i - 1), F.substring("key", i + 1, F.length("key"))))
+    forms = keys.where(F.length("key") >= least).select("cluster_id", "key", F.explode(F.array_distinct(F.concat(F.array("key"), left_out))).alias("form"))
+    met = forms.join(forms.select("cluster_id", "form", F.col("key").alias("other")), ["cluster_id", "form"]).where("key < other").select("cluster_id", "key", "other").distinct()
+    met = met.where(F.levenshtein("key", "other") <= 1)
+    mark = lambda c: F.concat_ws("\x1f", "cluster_id", c)
+    settled = components(keys.select(mark("key").alias("v")), met.select(mark("key").alias("a"), mark("other").alias("b")))
+    joined = counted.withColumn("v", mark("key")).join(settled, "v")
+    best = joined.groupBy("component").agg(F.min(F.struct(-F.col("n"), "name")).alias("b")).select("component", F.col("b.name").alias("canonical"))
+    return joined.join(best, "component").select("cluster_id", F.col("name").alias("alias"), "canonical")
+
+
 def multi_alias(aliases: DataFrame) -> DataFrame:
     """(cluster_id, canonical, aliases) of clusters of more than one spelling."""
     return aliases.groupBy("cluster_id", "canonical").agg(F.count("*").alias("aliases")).where("aliases > 1")

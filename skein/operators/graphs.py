@@ -259,7 +259,8 @@ def descriptions(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str] = E
 
 def details(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str] = EMISSION) -> DataFrame:
     """(keys, kind, pos, line): the printed report of a graph, one line an entity or relation."""
-    ents = node_rows.select(*keys, F.lit("entity").alias("kind"), F.col("first_ord").alias("pos"), F.format_string("%s (%s) df=%d confidence=%.2f", "name", "type", "document_frequency", "confidence").alias("line"))
+    sure = F.when(F.col("confidence").isNull(), "null").otherwise(F.format_string("%.2f", "confidence"))
+    ents = node_rows.select(*keys, F.lit("entity").alias("kind"), F.col("first_ord").alias("pos"), F.format_string("%s (%s) df=%d confidence=%s", F.col("name"), F.col("type"), F.col("document_frequency"), sure).alias("line"))
     rel = relation_lines(node_rows, edge_rows, keys)
-    rels = rel.select(*keys, F.lit("relation").alias("kind"), F.col("first_ord").alias("pos"), F.format_string("%s -> %s type=%s support=%d confidence=%.2f", "source_name", "target_name", "relation_type", "support_count", "confidence").alias("line"))
+    rels = rel.select(*keys, F.lit("relation").alias("kind"), F.col("first_ord").alias("pos"), F.format_string("%s -> %s type=%s support=%d confidence=%s", F.col("source_name"), F.col("target_name"), F.col("relation_type"), F.col("support_count"), sure).alias("line"))
     return ents.unionByName(rels)

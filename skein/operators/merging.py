@@ -78,6 +78,16 @@ def merge_evidence(entities: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.withColumn("first", first).where(F.struct("emission", "ord") == F.col("first")).select("cluster_id", "key", "span_id", "document_index", "quote")
 
 
+def merge_relation_evidence(entities: DataFrame, relations: DataFrame, spans: DataFrame, id_mode: str = "raw") -> DataFrame:
+    """(cluster_id, s, relation_type, t, span_id, document_index, quote): spans that the merged relations keep."""
+    keys = ["cluster_id", "s", "relation_type", "t"]
+    rows = keyed_relations(entities, relations, id_mode).select(*keys, "relation_pk", "emission", "ord")
+    own = span_rows(spans).where("owner_kind = 'relation'").select(F.col("owner_pk").alias("relation_pk"), "span_id", "document_index", "quote")
+    joined = own.join(rows, "relation_pk")
+    first = F.min(F.struct("emission", "ord")).over(Window.partitionBy(*keys, "quote"))
+    return joined.withColumn("first", first).where(F.struct("emission", "ord") == F.col("first")).select(*keys, "span_id", "document_index", "quote")
+
+
 def merge_paths(*path_tables: DataFrame) -> DataFrame:
     """Paths are a bag: repeats stay."""
     out = path_tables[0]

@@ -167,10 +167,11 @@ def parse_text(text: str | None, record) -> tuple[dict | None, str | None, str |
         return None, "schema_error", str(e)
 
 
-def parse_graphs(df: DataFrame, key: str = "response_id", text: str = "knowledge_graph", strict: bool = False) -> DataFrame:
-    """(key, parsed, error, reason): graphs of model answers. ``strict`` also rejects relations to undeclared entities."""
+def parse_graphs(df: DataFrame, key: str = "response_id", text: str = "knowledge_graph", strict: bool = False, fences: bool = True) -> DataFrame:
+    """(key, parsed, error, reason): graphs of model answers. ``strict`` also rejects relations to undeclared entities;
+    without ``fences`` a text in a code fence is no JSON."""
     record = (lambda raw: checked_endpoints(graph_record(raw))) if strict else graph_record
-    return _parsed(df, key, text, GRAPH_SCHEMA, record)
+    return _parsed(df, key, text, GRAPH_SCHEMA, record, fences)
 
 
 def parse_reports(df: DataFrame, key: str = "response_id", text: str = "report") -> DataFrame:
@@ -178,7 +179,7 @@ def parse_reports(df: DataFrame, key: str = "response_id", text: str = "report")
     return _parsed(df, key, text, REPORT_SCHEMA, report_record)
 
 
-def _parsed(df: DataFrame, key: str, text: str, schema: str, record) -> DataFrame:  # noqa: ANN001
+def _parsed(df: DataFrame, key: str, text: str, schema: str, record, fences: bool = True) -> DataFrame:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -188,7 +189,7 @@ def _parsed(df: DataFrame, key: str, text: str, schema: str, record) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(canon, pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[key, "canonical", "error", "reason"])
 
     kind = df.schema[key].dataType.simpleString()
-    staged = df.select(key, strip_fences(F.col(text)).alias("t")).mapInArrow(run, f"{key} {kind}, canonical string, error string, reason string")
+    staged = df.select(key, (strip_fences(F.col(text)) if fences else F.col(text)).alias("t")).mapInArrow(run, f"{key} {kind}, canonical string, error string, reason string")
     return staged.select(key, F.from_json("canonical", schema).alias("parsed"), "error", "reason")
 
 

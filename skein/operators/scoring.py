@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import strip_ws
+from skein.operators.finding import MENTION, found_entities
 from skein.operators.graphs import EMISSION, graph_sizes
 from skein.sources.clusters import clean_documents
 
@@ -29,11 +31,25 @@ def rouge(results: DataFrame, n: int) -> DataFrame:
     return counted.groupBy("result_id").agg(F.round(F.coalesce(f1, F.lit(0.0)), 6).alias("f1"))
 
 
-def extractive_summaries(documents: DataFrame, sentences: int = 3) -> DataFrame:
-    """(cluster_id, summary): the first sentences of each cluster's first document, a default where no model writes."""
-    first = clean_documents(documents, 1)
-    parts = F.filter(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda s: F.length(s) > 0)
-    return first.select("cluster_id", F.array_join(F.slice(parts, 1, sentences), " ").alias("summary"))
+SENTENCE = r"[^.!?\n]+[.!?]?"
+
+
+def ranked_summaries(documents: DataFrame, sentences: int = 3, read: int = 3) -> DataFrame:
+    """(cluster_id, summary): of the sentences of each cluster's first ``read`` documents those that name most of what two or
+    more documents of the cluster name, in their order; ties go to the earlier. A default where no model writes.
+
+    What the cluster's documents share is counted over all of them."""
+    shared = found_entities(documents).where("documents >= 2").select("cluster_id", "entity")
+    first = clean_documents(documents, read)
+    said = first.select("cluster_id", "document_index", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), 0)).alias("pos", "s"))
+    said = said.withColumn("s", strip_ws(F.col("s"))).where("s <> ''")
+    names = said.select("cluster_id", "document_index", "pos", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(MENTION), 1), F.lower))).alias("entity"))
+    hits = names.join(shared, ["cluster_id", "entity"]).groupBy("cluster_id", "document_index", "pos").agg(F.count("*").alias("hits"))
+    scored = said.join(hits, ["cluster_id", "document_index", "pos"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    best = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("hits"), "document_index", "pos"))
+    chosen = scored.withColumn("k", best).where(F.col("k") <= sentences)
+    parts = F.array_sort(F.collect_list(F.struct("document_index", "pos", "s")))
+    return chosen.groupBy("cluster_id").agg(F.array_join(F.transform(parts, lambda x: x["s"]), " ").alias("summary"))
 
 
 def degree_loss(node_rows: DataFrame, edge_rows: DataFrame, left: DataFrame, keys: list[str] = EMISSION) -> DataFrame:

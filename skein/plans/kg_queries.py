@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import fenced_block, strip_fences
-from skein.operators import auditing, corruption, features, finding, flatten, graphs, merging, parsing, scoring
-from skein.plans import pipelines, prompts
-from skein.plans.engine import KGEngine, refine_loop
+from skein.operators import auditing, corruption, features, finding, graphs, merging, parsing, scoring
+from skein.plans import prompts
+from skein.plans.engine import refine_loop
 from skein.schemas import Ontology
 from skein.sources import read_table
 from skein.sources.clusters import clean_documents, cluster_documents, join_documents
-from skein.sources.graphs import export_graph, export_rows
+from skein.sources.graphs import export_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,11 +100,6 @@ def viz_nodes(t: Callable) -> DataFrame:
     return graphs.viz_nodes(graphs.nodes(t("entities"))).select("cluster_id", "emission", "id", "name", "type", "color", "label")
 
 
-@query()
-def graph_details(t: Callable) -> DataFrame:
-    return graphs.details(*_nodes_edges(t))
-
-
 _EXPORT = """
     WITH m AS (SELECT cluster_id, document_index, list_transform(regexp_extract_all(text, '([A-Z][a-z]{3,})', 1), lambda x: lower(x)) AS m FROM %s),
          p AS (SELECT DISTINCT cluster_id, document_index, unnest(list_zip(m[1:len(m)-1], m[2:len(m)])) AS p FROM m WHERE len(m) > 1),
@@ -112,11 +107,13 @@ _EXPORT = """
 _FIRST_FIVE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY document_index) AS k FROM documents) WHERE k <= 5 AND trim(text) <> '')"
 
 
-@query(_EXPORT % _FIRST_FIVE + """, n AS (SELECT cluster_id, s AS name FROM x UNION SELECT cluster_id, t FROM x)
+@query(_EXPORT % "documents" + """, n AS (SELECT cluster_id, s AS name FROM x UNION SELECT cluster_id, t FROM x)
     SELECT x.cluster_id, (SELECT count(*) FROM n WHERE n.cluster_id = x.cluster_id) AS n_entities, count(*) AS n_relations FROM x GROUP BY x.cluster_id""")
 def kg_export(t: Callable) -> DataFrame:
-    found = finding.found_relations(finding.first_documents(t("documents"))).withColumn("relation", F.lit("next_to"))
-    return export_graph(found).select("cluster_id", F.size("entities").cast("bigint").alias("n_entities"), F.size("relations").cast("bigint").alias("n_relations"))
+    """The sizes of every cluster's exported graph."""
+    rows = export_rows(finding.found_relations(t("documents")).withColumn("relation", F.lit("next_to")))
+    n = lambda kind: F.sum((F.col("kind") == kind).cast("bigint"))
+    return rows.groupBy("cluster_id").agg(n("entity").alias("n_entities"), n("relation").alias("n_relations"))
 
 
 @query(_EXPORT % "documents" + """
@@ -154,34 +151,6 @@ def _parsed(t: Callable, strict: bool = False) -> DataFrame:
     return parsing.parse_graphs(t("accumulated").select("response_id", "knowledge_graph").distinct(), strict=strict)
 
 
-@query(f"""
-    SELECT response_id FROM (SELECT DISTINCT response_id, knowledge_graph FROM accumulated)
-    WHERE knowledge_graph IS NOT NULL AND NOT json_valid({_stripped_sql('knowledge_graph')})""")
-def json_bad_rows(t: Callable) -> DataFrame:
-    return parsing.rejected(_parsed(t)).where("error = 'json_error'").select("response_id")
-
-
-@query()
-def kg_rejected(t: Callable) -> DataFrame:
-    return parsing.rejected(_parsed(t))
-
-
-@query()
-def kg_rejected_strict(t: Callable) -> DataFrame:
-    return parsing.rejected(_parsed(t, strict=True))
-
-
-@query()
-def kg_parsed_sizes(t: Callable) -> DataFrame:
-    ok = _parsed(t).where("error is null")
-    return ok.select("response_id", *[F.size(f"parsed.{c}").alias(c) for c in ("entities", "relations", "reasoning_paths")])
-
-
-@query()
-def kg_json(t: Callable) -> DataFrame:
-    return parsing.to_json(_parsed(t))
-
-
 @query(f"""
     WITH {_ENT}, {_REL},
     x AS (
@@ -238,10 +207,10 @@ def prompt_evidence(t: Callable) -> DataFrame:
 
 @query("""
     SELECT span_id, CASE lower(section)
-      WHEN 'abstract' THEN 'Focus on the main topic, key claims, and high-level entities.' WHEN 'introduction' THEN 'Focus on background context, problem statement, and motivations.'
-      WHEN 'methods' THEN 'Focus on techniques, tools, datasets, and procedures used.' WHEN 'results' THEN 'Focus on findings, measurements, comparisons, and outcomes.'
-      WHEN 'discussion' THEN 'Focus on interpretations, implications, limitations, and future work.' WHEN 'conclusion' THEN 'Focus on key takeaways and final claims.'
-      ELSE 'Extract all relevant entities and relations from this section.' END AS guidance
+      WHEN 'abstract' THEN 'Take what the text is about and what it claims, in broad entities.' WHEN 'introduction' THEN 'Take the setting, the question asked and why it is asked.'
+      WHEN 'methods' THEN 'Take what was done: procedures, instruments, data and tools.' WHEN 'results' THEN 'Take what was found: figures, comparisons and outcomes.'
+      WHEN 'discussion' THEN 'Take what the findings mean, what limits them and what remains to do.' WHEN 'conclusion' THEN 'Take the last word on each claim.'
+      ELSE 'Take every entity and relation that matters here.' END AS guidance
     FROM (SELECT DISTINCT span_id, section FROM evidence_spans)""")
 def section_guidance(t: Callable) -> DataFrame:
     return t("evidence_spans").select("span_id", "section").distinct().select("span_id", prompts.section_guidance(F.col("section")).alias("guidance"))
@@ -326,14 +295,6 @@ def evidence_verbatim(t: Callable) -> DataFrame:
     return auditing.unsupported_quotes(t("evidence_spans"), t("documents"))
 
 
-@query(f"""
-    WITH {_ENT}, {_SPAN}, l AS (SELECT owner_pk, max(length(quote)) AS longest FROM span WHERE owner_kind = 'entity' GROUP BY 1),
-    x AS (SELECT e.entity_pk, CASE WHEN l.longest IS NULL THEN 'none' WHEN l.longest < 20 THEN 'short' END AS reason FROM (SELECT DISTINCT entity_pk FROM ent) e LEFT JOIN l ON l.owner_pk = e.entity_pk)
-    SELECT entity_pk, reason FROM x WHERE reason IS NOT NULL""")
-def evidence_weak(t: Callable) -> DataFrame:
-    return auditing.weak_evidence(t("entities"), t("evidence_spans"))
-
-
 @query(f"""
     WITH {_ENT}, m AS (SELECT cluster_id, document_index, lower(unnest(regexp_extract_all(text, '([A-Z][a-z]{{3,}})', 1))) AS mention FROM documents),
     f AS (SELECT cluster_id, mention, count(DISTINCT document_index) AS documents FROM m GROUP BY 1, 2 HAVING count(DISTINCT document_index) >= 3),
@@ -416,13 +377,6 @@ def grader_final_score(t: Callable) -> DataFrame:
     return rows.join(gate, "response_id", "left").withColumn("reports", F.coalesce("reports", F.lit(0)))
 
 
-@query()
-def path_valid(t: Callable) -> DataFrame:
-    acc = t("accumulated")
-    p, r = flatten.child_table(acc, "reasoning_path"), flatten.child_table(acc, "relation")
-    return graphs.path_validity(p.select("response_id", "pos", "path"), r.select("response_id", "source", "target"), ["response_id"])
-
-
 # ---- F: graph and set algebra ---------------------------------------------------------------------------------------
 
 
@@ -648,12 +602,6 @@ def graph_pool(t: Callable) -> DataFrame:
     return f.groupBy("cluster_id", "emission").agg(*[F.round(F.avg(c), 6).alias(c) for c in features.FEATURES])
 
 
-@query()
-def gcn_scores(t: Callable) -> DataFrame:
-    f, e = _features(t)
-    return features.forward(f, e, features.default_weights())
-
-
 @query(f"""
     WITH {_GRAPH}, s AS (SELECT * FROM edges WHERE source <> target)
     SELECT x.cluster_id, x.emission, x.source AS a, x.target AS b, y.target AS c FROM s x JOIN s y ON y.cluster_id = x.cluster_id AND y.emission = x.emission AND y.source = x.target
@@ -690,14 +638,6 @@ def method_compare(t: Callable) -> DataFrame:
     return rows.groupBy("method").agg(F.count("*").alias("responses"), F.sum("num_documents").alias("documents"), F.max("iterations_used").alias("most_iterations"), F.round(F.avg("final_score"), 6).alias("mean_score"))
 
 
-@query()
-def method_sizes(t: Callable) -> DataFrame:
-    acc = t("accumulated")
-    kinds = flatten.child_links(acc).groupBy("response_id").pivot("kind", ["entity", "relation", "reasoning_path"]).count()
-    rows = acc.select("response_id", "method").distinct().join(kinds, "response_id", "left")
-    return rows.groupBy("method").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("entity", "relation", "reasoning_path")])
-
-
 _ROUGE = """
     WITH r AS (SELECT result_id, generated_summary AS g, reference_summary AS f FROM pipeline_results WHERE generated_summary IS NOT NULL AND reference_summary IS NOT NULL),
     tg AS (SELECT result_id, list_filter(regexp_split_to_array(lower(g), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM r), tf AS (SELECT result_id, list_filter(regexp_split_to_array(lower(f), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM r),
@@ -729,36 +669,3 @@ def rouge2(t: Callable) -> DataFrame:
 def noise_robustness(t: Callable) -> DataFrame:
     n, e = _nodes_edges(t)
     return scoring.degree_loss(n, e, corruption.fragment(e))
-
-
-# ---- G: the methods -------------------------------------------------------------------------------------------------
-
-
-@query()
-def extract_ontology(t: Callable) -> DataFrame:
-    return KGEngine(t("documents")).ontology_extraction().runs
-
-
-@query()
-def extract_two_agent(t: Callable) -> DataFrame:
-    return KGEngine(t("documents")).two_agent_extraction().runs
-
-
-@query()
-def extract_full_pipeline(t: Callable) -> DataFrame:
-    return KGEngine(t("documents")).full_pipeline().runs
-
-
-@query()
-def summaries(t: Callable) -> DataFrame:
-    return scoring.extractive_summaries(t("documents"))
-
-
-@query()
-def pipeline_run(t: Callable) -> DataFrame:
-    return pipelines.run_pipeline(t("documents"))
-
-
-@query()
-def validator_run(t: Callable) -> DataFrame:
-    return pipelines.run_validator(*_nodes_edges(t))

@@ -54,18 +54,24 @@ def checkpoint_folder(master: str, named: str | None) -> str:
     return tempfile.mkdtemp(prefix="skein-checkpoint-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared checkpoint folder and read from there, so that lost executors lose no result
-    and what reads it again prunes columns and filters. The table is deleted when the driver ends, or by ``forget``."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder; what is written there is deleted when the driver ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(checkpoint_folder(sc.master, named))
     path = f"{sc.getCheckpointDir()}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     fs, target = _file(spark, path)
     fs.deleteOnExit(target)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder and read from there, so that lost executors lose no result
+    and what reads it again prunes columns and filters. The table is deleted when the driver ends, or by ``forget``."""
+    spark = df.sparkSession
+    path = shared_path(spark)
+    df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._skein_path = path
     return kept
