@@ -197,7 +197,7 @@ def merge_parsed(rows: DataFrame, id_mode: str = "resolved") -> DataFrame:
     keys = ["cluster_id", "source", "relation_type", "target"]
     rspans = _kept_spans(rel.select(*keys, "emission", "ord", F.posexplode("r.evidence").alias("i", "s")), keys)
     lists = F.transform(F.array_sort(F.collect_list(F.struct("emission", "ord", F.col("r.source_documents").alias("d")))), lambda x: F.coalesce(x["d"], F.array().cast("array<bigint>")))
-    docs = F.aggregate(F.slice(lists, 2, F.lit(2**31 - 1)), F.element_at(lists, 1), lambda seen, d: F.concat(seen, F.array_except(d, seen)))
+    docs = F.aggregate(F.slice(lists, 2, F.size(lists)), F.element_at(lists, 1), lambda seen, d: F.concat(seen, F.array_except(d, seen)))
     rels = rel.groupBy(*keys).agg(F.min(F.struct("emission", "ord")).alias("at"), F.max("r.support_count").alias("support_count"), F.max("r.confidence").alias("confidence"), docs.alias("source_documents"))
     rels = rels.join(rspans, keys, "left")
     record = F.struct("source", "target", "relation_type", "support_count", "source_documents", "confidence", F.coalesce("evidence", F.array()).alias("evidence"))

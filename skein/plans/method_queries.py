@@ -59,15 +59,13 @@ def answers_sink(t: Callable) -> DataFrame:
     WITH m AS (SELECT cluster_id, list_transform(regexp_extract_all(text, '([A-Z][a-z]{3,})', 1), lambda x: lower(x)) AS m FROM
            (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY document_index) AS k FROM documents) WHERE k <= 5 AND trim(text) <> ''),
          p AS (SELECT cluster_id, unnest(list_zip(m[1:len(m)-1], m[2:len(m)])) AS p FROM m WHERE len(m) > 1)
-    SELECT DISTINCT cluster_id, p[1] AS subject, 'next_to' AS relation, p[2] AS object FROM p WHERE p[1] <> p[2]""")
+    SELECT p[1] AS subject, 'next_to' AS relation, p[2] AS object, count(DISTINCT cluster_id) AS graphs FROM p WHERE p[1] <> p[2] GROUP BY 1, 2, 3""")
 def kggen_sink(t: Callable) -> DataFrame:
     """Graphs of triples of each cluster's first documents written as JSON files and read again."""
     found = finding.found_relations(finding.first_documents(t("documents"))).withColumn("relation", F.lit("next_to"))
     path = shared_path(found.sparkSession)
     write_json(export_graph(found), path)
-    back = found.sparkSession.read.schema("cluster_id string, relations array<struct<subject:string,relation:string,object:string>>").json(path)
-    assert read_kggen(found.sparkSession, path).columns[:3] == ["entities", "edges", "relations"]
-    return back.select("cluster_id", F.explode("relations").alias("r")).select("cluster_id", "r.*")
+    return triples(read_kggen(found.sparkSession, path, multi_line=False)).groupBy("subject", "relation", "object").agg(F.count("*").alias("graphs"))
 
 
 # ---- B: parsing -----------------------------------------------------------------------------------------------------

@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from skein.sources.tables import read_table, table_exists
+from skein.sources.tables import read_table
 
-__all__ = ["read_table", "table_exists"]
+__all__ = ["read_table"]

@@ -20,9 +20,10 @@ def read_graph_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
-def read_kggen(spark: SparkSession, path: str) -> DataFrame:
-    """Graphs of subject-relation-object triples with alias clusters, one file each. Endpoints need not be entities."""
-    return spark.read.schema(KGGEN).json(path, multiLine=True)
+def read_kggen(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Graphs of subject-relation-object triples with alias clusters, one file each or, without ``multi_line``, one line
+    each. Endpoints need not be entities."""
+    return spark.read.schema(KGGEN).json(path, multiLine=multi_line)
 
 
 def triples(kggen: DataFrame) -> DataFrame:

@@ -9,7 +9,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the directory ``sf_dir``; a file or a folder of files."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def table_exists(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

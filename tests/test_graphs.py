@@ -182,3 +182,30 @@ def test_partition_invariance(spark):
     e = entities(spark, [("c", k % 3, k, f"i{k % 5}", f"N{k % 4}") for k in range(40)])
     a = sorted(map(tuple, merging.merge_entities(e.repartition(1)).collect()))
     assert a == sorted(map(tuple, merging.merge_entities(e.repartition(7)).collect()))
+
+
+def test_component_counts_alike(spark):
+    """Graphs settled in one task and graphs contracted across tasks count the same, also under null keys."""
+    rng = random.Random(11)
+    nodes, edges, want = [], [], {}
+    for k in range(12):
+        key = (None if k == 3 else f"c{k}", None if k == 4 else k)
+        names = [f"v{i}" for i in range(rng.randrange(1, 9))]
+        links = [(rng.choice(names), rng.choice([*names, "extra"])) for _ in range(rng.randrange(0, 7))]
+        nodes += [(*key, n) for n in names]
+        edges += [(*key, a, b) for a, b in links]
+        every = {*names, *(x for pair in links for x in pair)}
+        want[key] = len(set(union_find(sorted(every), links).values()))
+    n = spark.createDataFrame(nodes, "cluster_id string, emission int, id string")
+    e = spark.createDataFrame(edges, "cluster_id string, emission int, source string, target string")
+    for rows in (1000, 7):
+        got = {(r.cluster_id, r.emission): r.components for r in graphs.component_counts(n, e, task_rows=rows).collect()}
+        assert {k: v for k, v in got.items() if None not in k} == {k: v for k, v in want.items() if None not in k}
+    assert got.keys() <= want.keys()
+
+
+def test_similar_aliases(spark):
+    names = ["Tavo Harbor", "TAVO-HARBOR", "Tavo Harbr", "Tavo Harbrs", "Kolv", "Kolf", "Tavo Harbor", None, "…"]
+    df = spark.createDataFrame([("c", n) for n in names] + [("d", "Tavo Harbrs")], "cluster_id string, name string")
+    got = {(r.cluster_id, r.alias): r.canonical for r in finding.similar_aliases(df).collect()}
+    assert got == {("c", n): "Tavo Harbor" for n in ("Tavo Harbor", "TAVO-HARBOR", "Tavo Harbr", "Tavo Harbrs")} | {("c", "Kolv"): "Kolv", ("c", "Kolf"): "Kolf", ("d", "Tavo Harbrs"): "Tavo Harbrs"}

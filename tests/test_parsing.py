@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import fenced_block, strip_fences, strip_ws
 from skein.operators import parsing
-from skein.plans import models, prompts
+from skein.plans import engine, models, prompts
 from skein.plans.engine import KGEngine
 from skein.schemas import METHODS, ExtractionRequest, Ontology
 from skein.sources.clusters import clean_documents, cluster_documents, join_documents, read_clusters
@@ -189,3 +189,52 @@ def test_strict_one_shot_repair(spark):
     with pytest.raises(ValueError):
         models.model_named("other")
     assert isinstance(models.model_named("rules"), models.RuleModel)
+
+
+def parsed_rows(spark, graphs):
+    rows = [(c, e, json.dumps(g)) for c, e, g in graphs]
+    df = spark.createDataFrame(rows, "cluster_id string, emission int, text string")
+    parsed = parsing.parse_graphs(df.select(F.struct("cluster_id", "emission").alias("k"), "text"), "k", "text").where("error is null")
+    return parsed.select("k.cluster_id", "k.emission", "parsed")
+
+
+def test_merge_keeps_relations_and_lists(spark):
+    """Relations without their ends stay and are listed; the first list of documents keeps its repeats; raw ids may meet."""
+    e = lambda i, n: {"id": i, "name": n, "type": "X"}
+    r = lambda s, t, d: {"source": s, "target": t, "relation_type": "R", "source_documents": d}
+    rows = parsed_rows(spark, [("c", 0, {"entities": [e("a", "Ann"), e("b", "Bo")], "relations": [r("a", "b", [0, 0]), r("a", "ghost", [0])]}), ("c", 1, {"entities": [e("a", "Bo"), e("b", "ann")], "relations": [r("b", "a", [0, 2, 2]), r("a", "b", [3])]})])
+    kg = json.loads(engine.merge_parsed(rows).first().kg_json)
+    assert [(x["id"], x["name"]) for x in kg["entities"]] == [("entity_1", "Ann"), ("entity_2", "Bo")]
+    assert [(x["source"], x["target"], x["source_documents"]) for x in kg["relations"]] == [("entity_1", "entity_2", [0, 0, 2]), ("entity_1", "ghost", [0]), ("entity_2", "entity_1", [3])]
+    raw = json.loads(engine.merge_parsed(rows, "raw").first().kg_json)
+    assert [(x["source"], x["target"], x["source_documents"]) for x in raw["relations"]] == [("a", "b", [0, 0, 3]), ("a", "ghost", [0]), ("b", "a", [0, 2, 2])]
+    assert [tuple(x) for x in engine.unresolved_endpoints(rows).select("emission", "ord", "endpoint", "id").collect()] == [(0, 1, "target", "ghost")]
+
+
+def test_refinement_reads_feedback(spark):
+    """What the grader names is mended; what it does not name stays, an element without evidence anywhere goes."""
+    docs = [(0, "Anna met Boris in Tavo. Boris left.")]
+    kg = models.RuleModel.extract(docs)
+    kg["entities"][0]["evidence"][0]["quote"] = "ANNA MET"
+    kg["entities"].append({"id": "entity_9", "name": "Ghost", "type": "X", "document_frequency": 1, "confidence": 1.0, "evidence": [{"document_index": 0, "quote": "no such words", "section": None}]})
+    report = models.RuleModel.grade(json.dumps(kg), docs)
+    assert [i["element_id"] for i in report["issues"]] == ["entity_1", "entity_9"]
+    mended = models.RuleModel.refine(json.dumps(kg), report["feedback_summary"], docs)
+    assert [x["name"] for x in mended["entities"]] == ["Anna", "Boris", "Tavo"] and mended["relations"] == kg["relations"]
+    assert models.RuleModel.grade(json.dumps(mended), docs)["issues"] == []
+    text = "Anna met Boris. Carla met Dora in Tavo."
+    d = spark.createDataFrame([("c", 0, text)], "cluster_id string, document_index int, text string")
+    out = engine.KGEngine(d, models.model_named("misquoting")).two_agent_extraction()
+    assert [(r.iterations_used, r.final_score) for r in out.runs.collect()] == [(2, 1.0)]
+    assert "ANNA MET" not in out.graphs.first().kg_json
+
+
+def test_replay_model(spark):
+    """Recorded answers run any method; a prompt without one is rejected."""
+    d = spark.createDataFrame([("c", 0, "Anna met Boris."), ("d", 0, "Carla left.")], "cluster_id string, document_index int, text string")
+    live = engine.KGEngine(d)
+    asked = live.context.select("cluster_id", prompts.ontology_prompt(F.col("context"), live.request.ontology).alias("prompt")).where("cluster_id = 'c'")
+    recorded = models.run_model(asked, models.RuleModel()).join(asked, "cluster_id").select(F.sha2("prompt", 256).alias("prompt_hash"), "answer")
+    out = engine.KGEngine(d, models.ReplayModel(recorded)).ontology_extraction()
+    assert [r.cluster_id for r in out.graphs.collect()] == ["c"] and [(r.cluster_id, r.error) for r in out.rejected.collect()] == [("d", "no_text")]
+    assert len(models.RuleModel.find_paths({"relations": [{"source": a, "target": b} for a, b in ("ab", "bc", "cd", "de", "ef")]})["reasoning_paths"]) == 4
