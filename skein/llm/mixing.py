@@ -16,20 +16,21 @@ reported with what they lack; the other shares are then in proportion to the res
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import checkpointed, collect_small
+from skein.session import checkpointed
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of that rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 2_000
-_PLAN = "source string, target_share double, share double, max_repeats int, documents bigint, tokens bigint, rate double"
 
 
 @lru_cache(maxsize=2)
@@ -41,12 +42,24 @@ def _encoding(path: str):  # noqa: ANN202
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _shipped(path: str) -> str:
+    """The name under which every worker finds the rank file: it goes to them with the job, once a context."""
+    sc = SparkSession.active().sparkContext
+    sent = sc.__dict__.setdefault("_skein_files", set())
+    if path not in sent and os.path.exists(path):
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
     """Tokens of a text; null and empty texts have none."""
+    name = _shipped(path)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(path).encode_ordinary
+        local = SparkFiles.get(name)
+        encode = _encoding(local if os.path.exists(local) else path).encode_ordinary
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
@@ -60,27 +73,19 @@ def document_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
 def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row for each source of either table: its target, the share it gets, what it has, and the copies a document needs.
 
-    The targets are few and held on the driver (their number is checked); sources outside them keep rate 0."""
-    rows = collect_small(targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")))
-    if rows is None:
-        raise ValueError("too many mixing targets to plan on the driver")
-    wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in rows}
+    Sources outside the targets keep rate 0. Only two numbers come to the driver, however many sources there are."""
+    wanted = targets.where("source is not null").groupBy(F.col("source").alias("wanted")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     totals = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
-    listed = collect_small(totals.where(F.col("source").isin(list(wanted)))) if wanted else []
-    have = {r.source: (r.documents, r.tokens) for r in listed or []}
-    usable = {s: v for s, v in wanted.items() if v[0] > 0 and v[1] > 0 and have.get(s, (0, 0))[1] > 0}
-    whole = sum(share for share, _ in usable.values())
-    most = min((repeats * have[s][1] * whole / share for s, (share, repeats) in usable.items()), default=0.0)
-    size = min(most, total_tokens) if total_tokens is not None else most
-    plan = []
-    for s, (share, repeats) in wanted.items():
-        docs, tokens = have.get(s, (0, 0))
-        part = share / whole if s in usable else 0.0
-        plan.append((s, share, part, repeats, docs, tokens, min(float(repeats), part * size / tokens) if s in usable else 0.0))
-    spark = sizes.sparkSession
-    planned = spark.createDataFrame(plan, _PLAN)
-    other = totals.where(~F.coalesce(F.col("source").isin(list(wanted)), F.lit(False))) if wanted else totals
-    return planned.unionByName(other.select("source", F.lit(0.0).alias("target_share"), F.lit(0.0).alias("share"), F.lit(0).alias("max_repeats"), "documents", "tokens", F.lit(0.0).alias("rate")))
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    both = totals.join(wanted, F.col("source") == F.col("wanted"), "full")
+    both = checkpointed(both.select(F.coalesce("source", "wanted").alias("source"), zero("target_share", "double"), zero("max_repeats", "int"), zero("documents", "bigint"), zero("tokens", "bigint")))
+    usable = (F.col("target_share") > 0) & (F.col("max_repeats") > 0) & (F.col("tokens") > 0)
+    whole, most = both.where(usable).agg(F.sum("target_share"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).first()
+    size = (most or 0.0) * (whole or 0.0)
+    size = min(size, total_tokens) if total_tokens is not None else size
+    share = F.when(usable, F.col("target_share") / F.lit(whole)).otherwise(0.0)
+    rate = F.when(usable, F.least(F.col("max_repeats").cast("double"), F.round(share * F.lit(size) / F.col("tokens"), 12))).otherwise(0.0)
+    return both.select("source", "target_share", share.alias("share"), "max_repeats", "documents", "tokens", rate.alias("rate"))
 
 
 # ---- the cube method ----------------------------------------------------------------------------------------------
@@ -156,7 +161,9 @@ def _round(open_docs: DataFrame, blocks: Column, last: bool, seed: int) -> DataF
         return pdf.assign(p=p)[["doc_id", "source", "n_tokens", "base", "p"]]
 
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks)
-    return open_docs.withColumn("block", block).groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, n_tokens bigint, base int, p double")
+    # a number given keeps small blocks apart, which would else be put together in one task
+    parts = int(open_docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return open_docs.withColumn("block", block).repartition(parts, "source", "block").groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, n_tokens bigint, base int, p double")
 
 
 def balanced_mix(sizes: DataFrame, plan: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
