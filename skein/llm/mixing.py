@@ -4,9 +4,9 @@ Method: cube-method balanced sampling (Deville and Tillé 2004). Every source ge
 share needs; the whole part of the rate is given to every document, the fraction is an inclusion probability. The
 probabilities are moved through the null space of the balancing constraints (document count and tokens), three
 documents at a time, so that each move keeps both totals and decides at least one document. Sources are cut into
-blocks of bounded size by a hash, so the largest source is many tasks; what a block leaves open (two documents at
-most) meets in the next, a thousand times smaller round, until one block a source is left, whose last two documents
-are landed by the nearest token total.
+blocks of bounded size by a hash, so the largest source is many tasks; what a block leaves open (two documents and
+some of all sizes) meets in the next, much smaller round, until a source is one block, whose last two documents are
+landed by the nearest token total; what is then missing is made up by exchanging documents of that block.
 
 Token counts come from a public tokenizer's rank file, whose path is a parameter. The mix is as large as the caps
 allow with all shares exact, or ``total_tokens`` if that is less. Sources that have no tokens, or no target, are
@@ -31,6 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of that rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 2_000
+#: Documents of a block that stay open for the next round.
+RESERVE = 25
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +124,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def land(p: np.ndarray, size: np.ndarray, need: float, exchanges: int = 2) -> np.ndarray:
+def land(p: np.ndarray, size: np.ndarray, need: float) -> np.ndarray:
     """The landing of the documents still open: the choice whose tokens come nearest to ``need``, then whose number does;
     what is then left of ``need`` is made up by exchanging decided documents of the same block."""
     open_ = np.nonzero((p > 0) & (p < 1))[0]
@@ -131,7 +133,7 @@ def land(p: np.ndarray, size: np.ndarray, need: float, exchanges: int = 2) -> np
     for k, i in enumerate(open_):
         out[i] = best >> k & 1
     left = need - float(sum(size[i] * out[i] for i in open_))
-    for _ in range(exchanges):  # a document inside for one outside whose size makes up what is left
+    for _ in range(len(p)):  # a document inside for one outside whose size makes up what is left, as long as that helps
         ins, outs = np.nonzero(out == 1)[0], np.nonzero(out == 0)[0]
         if abs(left) < 1 or not len(ins) or not len(outs):
             break
@@ -148,14 +150,21 @@ def land(p: np.ndarray, size: np.ndarray, need: float, exchanges: int = 2) -> np
     return out
 
 
-def _round(open_docs: DataFrame, blocks: Column, last: bool, seed: int) -> DataFrame:
+def _round(open_docs: DataFrame, blocks: Column, seed: int, reserve: int) -> DataFrame:
+    """One flight of every block. A source that is one block is landed at once, while its decided documents are at hand;
+    where it is several, ``reserve`` documents of each, of all sizes, wait for the next round, so that it has some to exchange."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # the largest first, so that what stays open at the end is small
         pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
         size = pdf["n_tokens"].to_numpy("float64")
         rng = np.random.default_rng([seed, int(pdf["doc_id"].iloc[0]) & 0xFFFFFFFF, len(pdf)])
-        p = flight(pdf["p"].to_numpy("float64"), size, rng)
-        if last:
+        p = pdf["p"].to_numpy("float64").copy()
+        flown = np.ones(len(p), bool)
+        if not pdf["lone"].iloc[0]:
+            flown[np.linspace(0, len(p) - 1, min(reserve, len(p))).astype(int)] = False
+        p[flown] = flight(p[flown], size[flown], rng)
+        if pdf["lone"].iloc[0]:
             still = (p > 0) & (p < 1)
             p = land(p, size, float((p * size)[still].sum()))
         return pdf.assign(p=p)[["doc_id", "source", "n_tokens", "base", "p"]]
@@ -163,7 +172,7 @@ def _round(open_docs: DataFrame, blocks: Column, last: bool, seed: int) -> DataF
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks)
     # a number given keeps small blocks apart, which would else be put together in one task
     parts = int(open_docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return open_docs.withColumn("block", block).repartition(parts, "source", "block").groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, n_tokens bigint, base int, p double")
+    return open_docs.withColumns({"block": block, "lone": blocks == 1}).repartition(parts, "source", "block").groupBy("source", "block").applyInPandas(run, "doc_id bigint, source string, n_tokens bigint, base int, p double")
 
 
 def balanced_mix(sizes: DataFrame, plan: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
@@ -177,17 +186,17 @@ def balanced_mix(sizes: DataFrame, plan: DataFrame, seed: int = 11, block: int =
     done = docs.where("p <= 1e-9").select("doc_id", "source", "n_tokens", F.col("base").alias("copies"))
     open_docs = docs.where("p > 1e-9").select("doc_id", "source", "n_tokens", "base", "p", "n")
     largest = used.agg(F.max("n")).first()[0] or 0
+    reserve = min(RESERVE, block // 4)
     rounds, n = 1, largest
     while n > block:
-        n, rounds = 2 * -(-n // block), rounds + 1
+        n, rounds = (reserve + 2) * -(-n // block), rounds + 1
     for k in range(rounds):
-        last = k == rounds - 1
-        # of n documents a round leaves two a block open
+        # of n documents a round leaves two a block open, and the reserve
         left = F.col("n").cast("double")
         for _ in range(k):
-            left = F.when(left <= block, left).otherwise(2 * F.ceil(left / block))
-        blocks = F.lit(1).cast("bigint") if last else F.greatest(F.lit(1), F.ceil(left / block)).cast("bigint")
-        after = checkpointed(_round(open_docs, blocks, last, seed + k))
+            left = F.when(left <= block, left).otherwise((reserve + 2) * F.ceil(left / block))
+        blocks = F.lit(1).cast("bigint") if k == rounds - 1 else F.greatest(F.lit(1), F.ceil(left / block)).cast("bigint")
+        after = checkpointed(_round(open_docs, blocks, seed + k, reserve))
         done = done.unionByName(after.where("p = 0 or p = 1").select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p").cast("int")).alias("copies")))
         open_docs = after.where("p > 0 and p < 1").join(used.select("source", "n"), "source").select("doc_id", "source", "n_tokens", "base", "p", "n")
     return done.where("copies > 0")

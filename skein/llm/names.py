@@ -372,17 +372,17 @@ def name_pairs(names: DataFrame) -> DataFrame:
     side = lambda df, x, *more: df.select("cluster_id", *more, F.struct("name", "full", "sense", "initials").alias(x))
     alike = (F.size("x.initials") == 0) | (F.size("y.initials") == 0) | F.arrays_overlap("x.initials", "y.initials")
     bears = f.where("own is not null")
-    full, short = bears.where("full").withColumn("g", F.explode("given")), bears.where("not full")
-    near = near_tokens(f)
-    # one side of every join is the full names of one given name, or the few short forms of a token
-    by_token = [
-        side(full, "x", "own", "g").join(side(full, "y", "own", "g"), ["cluster_id", "own", "g"]).where("x.name < y.name"),
-        side(short, "x", "own").join(side(bears, "y", "own"), ["cluster_id", "own"]).where("x.name < y.name or x.name > y.name and y.full"),
-        side(full, "x", "own", "g").join(near.where("own < own_b"), ["cluster_id", "own"]).join(side(full.withColumnRenamed("own", "own_b"), "y", "own_b", "g"), ["cluster_id", "own_b", "g"]),
-        side(short, "x", "own").join(near, ["cluster_id", "own"]).join(side(bears.withColumnRenamed("own", "own_b"), "y", "own_b"), ["cluster_id", "own_b"]).where("y.full or x.name < y.name"),
-    ]
+    # each bearer meets those of its own token and of the tokens near it
+    near = near_tokens(f).groupBy("cluster_id", "own").agg(F.collect_list("own_b").alias("others"))
+    meets = bears.join(near, ["cluster_id", "own"], "left").withColumn("to", F.explode(F.concat(F.array("own"), F.coalesce("others", F.array().cast("array<string>")))))
+    full = lambda df: df.where("full").withColumn("g", F.explode("given"))
+    target = bears.withColumnRenamed("own", "to")
     words = f.where("whole is not null")
-    pairs = [p.where(alike) for p in by_token] + [side(words, "x", "whole").join(side(words, "y", "whole"), ["cluster_id", "whole"]).where("x.name < y.name")]
+    pairs = [  # one side of every join is the full names of one given name, or the few short forms of a token
+        side(full(meets), "x", "to", "g").join(side(full(target), "y", "to", "g"), ["cluster_id", "to", "g"]).where("x.name < y.name"),
+        side(meets.where("not full"), "x", "to").join(side(target, "y", "to"), ["cluster_id", "to"]).where("x.name < y.name or x.name > y.name and y.full").where(alike),
+        side(words, "x", "whole").join(side(words, "y", "whole"), ["cluster_id", "whole"]).where("x.name < y.name"),
+    ]
     # full names need not meet under their letters: those are shared by too many, and only an acronym asks for them
     letters = f.withColumn("l", F.explode("letters"))
     pairs.append(side(letters.where("not full"), "x", "l").join(side(letters, "y", "l"), ["cluster_id", "l"]).where("x.name <> y.name and (y.full or x.name < y.name)"))

@@ -41,6 +41,17 @@ def test_many_rounds(spark):
     assert abs(report["a"].actual_share - 0.8) < 0.005
 
 
+def test_long_documents_land_near(spark):
+    """A source far smaller than the largest is landed in its own round, so that a long document does no harm."""
+    rng = np.random.default_rng(5)
+    sizes = [("big", int(x)) for x in rng.integers(5, 60, 600)] + [("small", int(x)) for x in rng.integers(5, 60, 80)] + [("small", 900), ("big", 900)]
+    targets = spark.createDataFrame([("big", 0.8, 1, 0), ("small", 0.2, 1, 0)], TARGETS)
+    sizes = m.document_sizes(documents(spark, sizes))
+    plan = m.mix_plan(sizes, targets, 9_000)
+    report = {r.source: r for r in m.share_report(m.balanced_mix(sizes, plan, block=200), plan).collect()}
+    assert abs(report["small"].mix_tokens - 1800) <= 5 and abs(report["big"].mix_tokens - 7200) <= 40
+
+
 def test_empty(spark):
     none, targets = documents(spark, []), spark.createDataFrame([("a", 1.0, 1, 0)], TARGETS)
     for docs, t in ((none, targets), (documents(spark, [("a", 3)]), targets.limit(0)), (documents(spark, [("b", 3)]), targets), (documents(spark, [("a", 0)]), targets)):
