@@ -32,7 +32,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 2_000
 #: Documents of a block that stay open for the next round.
-RESERVE = 25
+RESERVE = 100
 
 
 @lru_cache(maxsize=2)
