@@ -1,7 +1,7 @@
 """Node features, dense edge indices and the forward pass of a two-layer graph convolution network.
 
-The network runs over all graphs at once as relational algebra: a layer is neighbours' features summed over edges
-with the weights 1/sqrt(d(u) d(v)), then a dense product in Arrow batches. Trained weights are passed in.
+A layer is neighbours' features summed over edges with the weights 1/sqrt(d(u) d(v)), then a dense product. A graph that one
+task can hold passes the network there; larger ones pass it as relational algebra. Trained weights are passed in.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.graphs import EMISSION, all_nodes, degrees
+from skein.operators.graphs import EMISSION, TASK_ROWS, all_nodes, degrees, large_graphs, same_graph
 from skein.schemas import FEATURE_TYPES
 from skein.session import checkpointed
 
@@ -74,8 +74,47 @@ def default_weights(hidden: int = 64, seed: int = 42) -> dict[str, np.ndarray]:
     return {k: rng.normal(0, 0.2, s) for k, s in shapes.items()}
 
 
-def forward(features: DataFrame, edge_rows: DataFrame, weights: dict[str, np.ndarray], keys: list[str] = EMISSION) -> DataFrame:
-    """(keys, four scores in (0, 1)) of every graph: two convolutions with ReLU, mean pooling, four sigmoid heads."""
+def forward(features: DataFrame, edge_rows: DataFrame, weights: dict[str, np.ndarray], keys: list[str] = EMISSION, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(keys, four scores in (0, 1)) of every graph: two convolutions with ReLU, mean pooling, four sigmoid heads.
+
+    Graphs of up to ``task_rows`` nodes and edges pass in one task each, after one shuffle; the others, if there are any,
+    layer by layer as joins. Both give the same."""
+    large = large_graphs(features, edge_rows, keys, task_rows)
+    if large is None:
+        return _forward_in_task(features, edge_rows, weights, keys)
+    same = same_graph(keys)
+    small = _forward_in_task(features.join(large, same, "left_anti"), edge_rows.join(large, same, "left_anti"), weights, keys)
+    return small.unionByName(_forward_by_joins(features.join(large, same, "left_semi"), edge_rows.join(large, same, "left_semi"), weights, keys))
+
+
+def _forward_in_task(features: DataFrame, edge_rows: DataFrame, weights: dict[str, np.ndarray], keys: list[str]) -> DataFrame:
+    """Each graph becomes one row of bounded size, and a batch of them one call."""
+
+    @F.pandas_udf(", ".join(f"{h} double" for h in HEADS))
+    def scores(ids: pd.Series, x: pd.Series, source: pd.Series, target: pd.Series) -> pd.DataFrame:
+        out = []
+        for names, rows, ss, ts in zip(ids, x, source, target, strict=True):
+            at = {n: i for i, n in enumerate(names)}
+            edges = {(at.get(s), at.get(t)) for s, t in zip(ss, ts, strict=True)} if ss is not None else set()
+            d = 1.0 + np.bincount([t for _, t in edges if t is not None], minlength=len(names))
+            pairs = np.array([e for e in edges if None not in e], dtype="int64").reshape(-1, 2)
+            src, dst = pairs[:, 0], pairs[:, 1]
+            norm = (1 / np.sqrt(d[src] * d[dst]))[:, None]
+            h = np.stack(rows).astype("float64")
+            for w, b in (("w1", "b1"), ("w2", "b2")):
+                mixed = h / d[:, None]
+                np.add.at(mixed, dst, h[src] * norm)
+                h = np.maximum(mixed @ weights[w] + weights[b], 0)
+            out.append(1 / (1 + np.exp(-(h.mean(axis=0) @ weights["w3"] + weights["b3"]))))
+        return pd.DataFrame(np.array(out).reshape(-1, len(HEADS)), columns=HEADS)
+
+    nodes = features.groupBy(*keys).agg(F.collect_list(F.struct("id", F.array(*FEATURES).alias("x"))).alias("n"))
+    links = edge_rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.collect_list(F.struct("source", "target")).alias("e"))
+    both = nodes.join(links, same_graph(keys), "left")
+    return both.select(*keys, scores("n.id", "n.x", "e.source", "e.target").alias("s")).select(*keys, "s.*")
+
+
+def _forward_by_joins(features: DataFrame, edge_rows: DataFrame, weights: dict[str, np.ndarray], keys: list[str]) -> DataFrame:
     hidden = [f"h{i}" for i in range(weights["w1"].shape[1])]
 
     def layer(df: DataFrame, cols: list[str], w: str, b: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import clamp01
 from skein.schemas import OTHER_COLOR, TYPE_COLORS
-from skein.session import checkpointed, collect_small, forget
+from skein.session import checkpointed, forget
 
 EMISSION = ["cluster_id", "emission"]
 _ENTITY = ["entity_pk", "cluster_id", "emission", "ord", "id", "name", "type", "document_frequency", "confidence"]
@@ -105,37 +105,52 @@ def component_counts(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str]
     Graphs of up to ``task_rows`` nodes and edges are settled by union-find, each in one task after one shuffle; the
     others, if there are any, by star contraction. Both count the same."""
     rows = node_rows.select(*keys, F.col("id").alias("a"), F.col("id").alias("b")).unionByName(edge_rows.select(*keys, F.col("source").alias("a"), F.col("target").alias("b")))
-    large = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select(*keys))
-    few = collect_small(large)
-    if few == []:
+    large = large_graphs(node_rows, edge_rows, keys, task_rows)
+    if large is None:
         return _settled(rows, keys)
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    big = large.select(*[F.col(k).alias(f"__{k}") for k in keys])
-    node_large, edge_large = node_rows.join(big, same, "left_semi"), edge_rows.join(big, same, "left_semi")
-    return _settled(rows.join(big, same, "left_anti"), keys).unionByName(_contracted(node_large, edge_large, keys))
+    same = same_graph(keys)
+    node_large, edge_large = node_rows.join(large, same, "left_semi"), edge_rows.join(large, same, "left_semi")
+    return _settled(rows.join(large, same, "left_anti"), keys).unionByName(_contracted(node_large, edge_large, keys))
+
+
+def large_graphs(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame | None:
+    """(__keys) of the graphs of more than ``task_rows`` nodes and edges, or None if there are none."""
+    sizes = node_rows.select(*keys).unionByName(edge_rows.select(*keys)).groupBy(*keys).agg(F.count("*").alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > task_rows).select(*[F.col(k).alias(f"__{k}") for k in keys]))
+    return None if large.isEmpty() else large
+
+
+def same_graph(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
 
 
 def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, first = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
-        root = list(range(len(first)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        left = len(first)
-        for x, y in zip(ids[: len(pdf)].tolist(), ids[len(pdf) :].tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[x] = y
-                left -= 1
-        return pdf.iloc[:1][keys].assign(components=left)
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", components bigint")
+    """Each graph becomes one row of bounded size, and a batch of them one call."""
+
+    @F.pandas_udf("bigint")
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for xs, ys in zip(a, b, strict=True):
+            root: dict[str, str] = {}
+
+            def find(x: str, root: dict[str, str] = root) -> str:
+                root.setdefault(x, x)
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            joined = 0
+            for x, y in zip(xs, ys, strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[x] = y
+                    joined += 1
+            out.append(len(root) - joined)
+        return pd.Series(out, dtype="int64")
+
+    lists = rows.groupBy(*keys).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    return lists.select(*keys, count("a", "b").alias("components"))
 
 
 def _contracted(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str]) -> DataFrame:

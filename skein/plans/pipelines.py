@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,8 @@ def run_validator(nodes: DataFrame, edges: DataFrame, weights: dict | None = Non
         "contradictions": (nodes, corruption.flip_edges(edges, keys=keys)),
         "fragmentation": (nodes, corruption.fragment(edges, keys=keys)),
     }
-    out = None
-    for name, (n, e) in variants.items():
-        n, e = checkpointed(n), checkpointed(e)
-        scored = features.forward(features.node_features(n, e, keys), e, weights, keys).withColumn("corruption", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return out.select("corruption", *keys, *features.HEADS)
+    kept = [nodes.columns, [*keys, "source", "target"]]
+    tagged = [reduce(DataFrame.unionByName, [v[i].select(F.lit(name).alias("corruption"), *kept[i]) for name, v in variants.items()]) for i in (0, 1)]
+    n, e = map(checkpointed, tagged)
+    graph = ["corruption", *keys]
+    return features.forward(features.node_features(n, e, graph), e, weights, graph).select(*graph, *features.HEADS)

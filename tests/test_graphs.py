@@ -161,6 +161,8 @@ def test_network_against_numpy(spark):
     h = np.maximum(a @ h @ w["w2"] + w["b2"], 0)
     want = 1 / (1 + np.exp(-(h.mean(axis=0) @ w["w3"] + w["b3"])))
     assert np.allclose([got[c] for c in features.HEADS], want)
+    large = features.forward(f, d, w, task_rows=3).first()
+    assert np.allclose([large[c] for c in features.HEADS], want)
 
 
 def test_features_of_isolated_and_odd(spark):
