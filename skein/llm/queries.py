@@ -77,6 +77,15 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.member_pieces(read_table(spark, d, "clusters"), only_split=True)
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Of every member that is cut: whether its pieces keep the limits, and what they give when put together again."""
+    pieces = splitting.member_pieces(read_table(spark, d, "clusters"), only_split=True)
+    fresh = F.expr("substring(text, repeated + 1)")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", fresh.alias("t")))), lambda x: x["t"]), "")
+    kept = F.bool_and((F.length("text") <= 3000) & (F.col("repeated") <= 200))
+    return pieces.groupBy("row_id", "document_index").agg(kept.alias("within_limits"), F.md5(whole).alias("text_md5"))
+
+
 # ---- 7: leaked items ------------------------------------------------------------------------------------------------
 
 
@@ -119,18 +128,20 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p1_candidates, p2_found, p2_variants, p3_found, p3_providers, p6_found, p6_pieces, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_hosts)
+    for f in (p1_found, p1_unmatched, p1_candidates, p2_found, p2_variants, p3_found, p3_providers, p6_found, p6_pieces, p6_round_trip, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_hosts)
 }
 
 _BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 
-SQL: dict[str, str] = {
-    "p6_found": rf"""
+_MEMBERS = rf"""
         WITH members AS (
           SELECT row_id, unnest(list_filter(list_transform(string_split(document, '|||||'),
                    lambda x: regexp_replace(regexp_replace(x, '^{_BLANK}+', ''), '{_BLANK}+$', '')), lambda x: x <> '')) AS text,
                  generate_subscripts(list_filter(list_transform(string_split(document, '|||||'),
                    lambda x: regexp_replace(regexp_replace(x, '^{_BLANK}+', ''), '{_BLANK}+$', '')), lambda x: x <> ''), 1) - 1 AS document_index
-          FROM clusters WHERE document IS NOT NULL)
-        SELECT row_id, CAST(document_index AS INTEGER) AS document_index FROM members WHERE length(text) > 3000""",
+          FROM clusters WHERE document IS NOT NULL)"""
+
+SQL: dict[str, str] = {
+    "p6_found": _MEMBERS + " SELECT row_id, CAST(document_index AS INTEGER) AS document_index FROM members WHERE length(text) > 3000",
+    "p6_round_trip": _MEMBERS + " SELECT row_id, CAST(document_index AS INTEGER) AS document_index, true AS within_limits, md5(text) AS text_md5 FROM members WHERE length(text) > 3000",
 }
