@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.graphs import components
 from skein.session import checkpointed
 
 #: Given names and the short forms in use for them.
@@ -443,3 +444,20 @@ def variant_report(entities: DataFrame) -> DataFrame:
     links = name_links(names)
     ends = links.select("cluster_id", F.explode(F.array("name_a", "name_b")).alias("name"))
     return ends.groupBy("cluster_id", "name").agg(F.count("*").alias("spellings"))
+
+
+def variant_classes(entities: DataFrame) -> DataFrame:
+    """(entity_pk, class_id, spellings): every row with a cluster and a name once, with the least entity_pk of the rows that
+    denote the same as it, along links, and the number of other spellings of its cluster that its name is linked to.
+
+    Copies of one name are members of its class and not expanded to pairs."""
+    rows = entities.where("name is not null and cluster_id is not null and entity_pk is not null").select("entity_pk", "cluster_id", "name").distinct()
+    mark = lambda c: F.concat_ws("\x1f", "cluster_id", c)
+    names = rows.groupBy("cluster_id", "name").agg(F.min("entity_pk").alias("first")).withColumn("v", mark("name"))
+    links = checkpointed(name_links(names.select("cluster_id", "name")))
+    settled = components(names.select("v"), links.select(mark("name_a").alias("a"), mark("name_b").alias("b")))
+    joined = names.join(settled, "v")
+    least = joined.groupBy("component").agg(F.min("first").alias("class_id"))
+    ends = links.select("cluster_id", F.explode(F.array("name_a", "name_b")).alias("name")).groupBy("cluster_id", "name").agg(F.count("*").alias("spellings"))
+    named = joined.join(least, "component").join(ends, ["cluster_id", "name"], "left").select("cluster_id", "name", "class_id", F.coalesce("spellings", F.lit(0)).alias("spellings"))
+    return rows.join(named, ["cluster_id", "name"]).select("entity_pk", "class_id", "spellings")

@@ -49,6 +49,10 @@ def p2_variants(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_report(read_table(spark, d, "entities"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_classes(read_table(spark, d, "entities"))
+
+
 # ---- 3: cut texts ---------------------------------------------------------------------------------------------------
 
 
@@ -128,7 +132,7 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p1_candidates, p2_found, p2_variants, p3_found, p3_providers, p6_found, p6_pieces, p6_round_trip, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_hosts)
+    for f in (p1_found, p1_unmatched, p1_candidates, p2_found, p2_variants, p2_classes, p3_found, p3_providers, p6_found, p6_pieces, p6_round_trip, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_hosts)
 }
 
 _BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"

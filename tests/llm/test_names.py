@@ -133,3 +133,18 @@ def test_namesakes_cost_no_pairs(spark):
     names = spark.createDataFrame([("c", f"{g} Kolvandik") for g in given] + [("c", f"{g} kolvandik") for g in given], "cluster_id string, name string")
     assert n.name_pairs(names).count() == 2 * len(given)
     assert n.name_links(names).count() == len(given)
+
+
+def test_classes(spark):
+    """Classes by membership: all spellings of one entity share the least key; repeated rows and copies are members once."""
+    groups = [SAME[0], SAME[3], SAME[5]]
+    data = rows(groups, start=5)
+    data += [(100, "c", groups[0][0], None), (100, "c", groups[0][0], None), (101, "d", groups[0][0], None), (102, "c", None, None), (None, "c", "Tavobustad", None)]
+    got = {r.entity_pk: (r.class_id, r.spellings) for r in n.variant_classes(spark.createDataFrame(data, ENT)).collect()}
+    want, at = {101: (101, 0)}, 5
+    for g in groups:
+        want |= {at + k: (at, len(g) - 1) for k in range(len(g))}
+        at += len(g)
+    want[100] = want[5]
+    assert got == want
+    assert n.variant_classes(spark.createDataFrame([], ENT)).count() == 0
