@@ -111,8 +111,9 @@ def id_conflicts(entities: DataFrame, keys: list[str] = EMISSION) -> DataFrame:
     return rows.groupBy(*keys, "id").agg(F.countDistinct(F.lower("name")).alias("names")).where("names > 1")
 
 
-def violations(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(table_name, pk, rule) of rows outside the model's constraints: confidence outside [0, 1], required fields null."""
+def violations(entities: DataFrame, relations: DataFrame, accumulated: DataFrame) -> DataFrame:
+    """(table_name, pk, rule) of rows outside the model's constraints: confidence outside [0, 1], required fields null, and of
+    responses with a report whose score is outside [0, 1]."""
     e, r = entity_rows(entities), relation_rows(relations)
 
     def rules(df: DataFrame, table: str, pk: str, required: list[str]) -> DataFrame:
@@ -120,7 +121,10 @@ def violations(entities: DataFrame, relations: DataFrame) -> DataFrame:
         checks.append(F.when((F.col("confidence") < 0) | (F.col("confidence") > 1), F.lit("confidence_out_of_range")))
         return df.select(F.lit(table).alias("table_name"), F.col(pk).alias("pk"), F.explode(F.array_compact(F.array(*checks))).alias("rule"))
 
-    return rules(e, "entities", "entity_pk", ["id", "name", "type"]).unionByName(rules(r, "relations", "relation_pk", ["source", "target", "relation_type"]))
+    odd = F.exists("grader_reports", lambda x: (x["overall_score"] < 0) | (x["overall_score"] > 1))
+    responses = accumulated.where(odd).select(F.lit("accumulated").alias("table_name"), F.col("response_id").alias("pk"), F.lit("overall_score_out_of_range").alias("rule")).distinct()
+    rows = rules(e, "entities", "entity_pk", ["id", "name", "type"]).unionByName(rules(r, "relations", "relation_pk", ["source", "target", "relation_type"]))
+    return rows.unionByName(responses)
 
 
 def penalty_score(reports: DataFrame, threshold: float = 0.7) -> DataFrame:
