@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -254,8 +254,9 @@ def value_candidates(values: DataFrame, paths: DataFrame, block: int = BLOCK_PAT
     """(value, term, distance, rank) of all entries within the distance that the length of each value (value) allows. The
     size of the blocks changes no result."""
     spark = values.sparkSession
-    spread = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value")
-    out = spark.createDataFrame([], "value string, term string, distance int, rank int")
+    # a number given keeps few values apart, which would else be searched in one task
+    spread = values.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
+    found = []
     for part in path_blocks(paths, block):
         shared = spark.sparkContext.broadcast(part)
 
@@ -265,7 +266,8 @@ def value_candidates(values: DataFrame, paths: DataFrame, block: int = BLOCK_PAT
                 rows = [(v, term, d, rank) for v in pdf["value"] for d, rank, term in candidates(v, trie)]
                 yield pd.DataFrame(rows, columns=["value", "term", "distance", "rank"])
 
-        out = out.unionByName(spread.mapInPandas(run, "value string, term string, distance int, rank int"))
+        found.append(spread.mapInPandas(run, "value string, term string, distance int, rank int"))
+    out = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "value string, term string, distance int, rank int")
     return out.groupBy("value", "term").agg(F.min(F.struct("distance", "rank")).alias("b")).select("value", "term", "b.distance", "b.rank")
 
 
