@@ -246,22 +246,13 @@ def acronyms(n: Name, name: str) -> list[str]:
 class Forms(NamedTuple):
     """The canonical rewritings under which a name meets its variants."""
 
-    own: str | None  # the distinctive token with what kind of name it is of
+    own: str | None  # the distinctive token behind what kind of name it is of
     given: tuple[str, ...]  # what full names of one token must share, one of these at least
-    near: tuple[str, ...]  # forms of the token that its misspellings share
+    ends: tuple[str, ...]  # beginning and end of the token, which two misspellings of a full name share
     whole: str | None  # all words
     letters: tuple[str, ...]  # acronyms
 
 
-@lru_cache(maxsize=50_000)
-def _left_out(own: str) -> tuple[str, ...]:
-    if len(own) <= 4:
-        return ()
-    if len(own) > LONGEST:
-        return (own[: LONGEST // 2] + "-", "-" + own[-(LONGEST // 2) :])
-    return tuple(dict.fromkeys([own, *(own[:i] + own[i + 1 :] for i in range(len(own)))]))
-
-
 def forms(name: str) -> Forms:
     n = parse(name)
     words = same_words(name)
@@ -273,14 +264,13 @@ def forms(name: str) -> Forms:
         return Forms(None, (), (), whole, (n.own,))
     if n.kind == "other" or not n.own:
         return Forms(None, (), (), whole, ())
-    # two misspellings of one name may share no such form; they share its beginning or its end
     ends = (n.own[:4] + "-", "-" + n.own[-7:]) if n.full and 8 <= len(n.own) <= LONGEST else ()
     if n.kind == "person":
         listed = len(words) == 2 and not n.loose and (n.initial or any(w in n.given or w in _GIVEN for w in words) and n.given <= NICKNAMES.keys())
-        near = (*_left_out(n.own), *(f"{g}:{e}" for g in sorted(n.given) for e in ends))
-        return Forms("p:" + n.own, tuple(sorted(n.given)), near, None if listed else whole, ())
+        ends = tuple(f"{g}:{e}" for g in sorted(n.given) for e in ends)
+        return Forms("p\x1f" + n.own, tuple(sorted(n.given)), ends, None if listed else whole, ())
     body = "".join(sorted(w[:2] for w in n.body))
-    return Forms(f"o:{body}:{n.own}", ("",), (*_left_out(n.own), *ends), None, tuple(acronyms(n, name)))
+    return Forms(f"o{body}\x1f{n.own}", ("",), ends, None, tuple(acronyms(n, name)))
 
 
 def sense(name: str) -> str:
@@ -330,13 +320,13 @@ def compatible(a: str, b: str) -> bool:
 
 
 def name_forms(names: DataFrame) -> DataFrame:
-    """(cluster_id, name, full, sense, own, given, near, whole, letters, initials) of distinct names (cluster_id, name)."""
-    schema = "cluster_id string, name string, full boolean, sense string, own string, given array<string>, near array<string>, whole string, letters array<string>, initials array<string>"
+    """(cluster_id, name, full, sense, own, given, ends, whole, letters, initials) of distinct names (cluster_id, name)."""
+    schema = "cluster_id string, name string, full boolean, sense string, own string, given array<string>, ends array<string>, whole string, letters array<string>, initials array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(c, n, parse(n).full, sense(n), *forms(n), initials(n)) for c, n in zip(pdf["cluster_id"], pdf["name"], strict=True)]
-            yield pd.DataFrame(rows, columns=["cluster_id", "name", "full", "sense", "own", "given", "near", "whole", "letters", "initials"])
+            yield pd.DataFrame(rows, columns=["cluster_id", "name", "full", "sense", "own", "given", "ends", "whole", "letters", "initials"])
 
     return names.mapInPandas(run, schema)
 
@@ -347,17 +337,22 @@ def near_tokens(f: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        cut = lambda x: x.rsplit(":", 1)[-1]
-        return pd.Series([within(cut(x), cut(y), 2) for x, y in zip(a, b, strict=True)], dtype="bool")
+        return pd.Series([within(x, y, 2) for x, y in zip(a, b, strict=True)], dtype="bool")
 
     # tokens and forms pass as hashes; the few tokens that meet fetch their letters
-    kind = F.regexp_extract("own", r"^(?s)(.*):", 1)
-    token = F.xxhash64("cluster_id", "own").alias("token")
-    flat = f.where("own is not null").select("cluster_id", kind.alias("kind"), token, F.explode("near").alias("form")).select("token", F.xxhash64("cluster_id", "kind", "form").alias("key")).distinct()
+    kind, word = F.substring_index("own", "\x1f", 1), F.substring_index("own", "\x1f", -1)
+    bears = f.where("own is not null").withColumn("token", F.xxhash64("cluster_id", "own"))
+    tokens = bears.select("cluster_id", kind.alias("kind"), word.alias("word"), "own", "token").distinct()
+    size, half = F.length("word"), LONGEST // 2
+    one_less = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, size)))
+    halves = F.array(F.concat(F.substring("word", 1, half), F.lit("-")), F.concat(F.lit("-"), F.right("word", F.lit(half))))
+    forms_ = F.when(size > LONGEST, halves).when(size > 4, F.array_distinct(F.concat(F.array("word"), one_less)))
+    ends = bears.select("cluster_id", kind.alias("kind"), "token", F.explode("ends").alias("form")).distinct()
+    flat = tokens.select("cluster_id", "kind", "token", F.explode(forms_).alias("form")).unionByName(ends).select("token", F.xxhash64("cluster_id", "kind", "form").alias("key"))
     met = flat.join(flat.withColumnRenamed("token", "token_b"), "key").where("token < token_b").select("token", "token_b").distinct()
-    tokens = f.where("own is not null").select("cluster_id", "own", token).distinct()
-    named = met.join(tokens, "token").join(tokens.select(F.col("token").alias("token_b"), F.col("own").alias("own_b"), F.col("cluster_id").alias("c")), "token_b").where("c = cluster_id")
-    close_ones = checkpointed(named.where(close("own", "own_b")).select("cluster_id", "own", "own_b"))
+    other = tokens.select(F.col("token").alias("token_b"), F.col("own").alias("own_b"), F.col("word").alias("word_b"), F.col("kind").alias("k"), F.col("cluster_id").alias("c"))
+    named = met.join(tokens, "token").join(other, "token_b").where("c = cluster_id and k = kind")
+    close_ones = checkpointed(named.where(close("word", "word_b")).select("cluster_id", "own", "own_b"))
     return close_ones.unionByName(close_ones.select("cluster_id", F.col("own_b").alias("own"), F.col("own").alias("own_b")))
 
 
