@@ -20,6 +20,7 @@ from skein.plans.record_queries import _GRAPHS
 from skein.schemas import METHODS, Ontology
 from skein.session import shared_path
 from skein.sources.graphs import export_graph, read_kggen, triples, write_graph, write_json, write_texts
+from skein.streaming import accumulate
 
 # ---- A: files -------------------------------------------------------------------------------------------------------
 
@@ -404,6 +405,13 @@ def summaries(t: Callable) -> DataFrame:
     return scoring.ranked_summaries(t("documents")).select("cluster_id", F.md5("summary").alias("summary_md5"))
 
 
+@query("SELECT date_trunc('day', arrived_at)::TIMESTAMP AS day, cluster_id, count(*) AS rows FROM entities WHERE arrived_at IS NOT NULL GROUP BY 1, 2")
+def arrivals_daily(t: Callable) -> DataFrame:
+    """The stream's windows of arrivals, over the table as a whole."""
+    seen = accumulate.windowed_arrivals(t("entities").select("cluster_id", "arrived_at"))
+    return seen.select(F.col("window.start").alias("day"), "cluster_id", "rows")
+
+
 @query()
 def gcn_scores(t: Callable) -> DataFrame:
     n, e = _nodes_edges(t)

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be collected or broadcast; beyond it every caller has a shuffled way.
+#: Rows up to which a side may be broadcast; beyond it the join shuffles.
 SMALL_ROWS = 200_000
 
 
@@ -88,12 +88,6 @@ def _file(spark: SparkSession, path: str):  # noqa: ANN202
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def collect_small(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
-    """The rows of ``df`` if there are at most ``limit``, else None: the check before anything is broadcast."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """``df`` marked for broadcast when counting shows at most ``limit`` rows, else unmarked (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
